@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, linestore, neardup, quality
+from graphloom.llm import decontaminate, linestore, neardup, quality, segment
 from graphloom.llm.scratch import Scratch
 
 
@@ -33,7 +33,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.filter_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination)]
+def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, lossless and the sampled piece ids of each document."""
+    import public_tokenizers
+
+    return segment.sample(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("sampled_pieces", sampled_pieces)]
 
 #: Sampled segmentation can't be expressed in SQL; the tests hold all stages against brute force.
 ORACLE_SQL = None

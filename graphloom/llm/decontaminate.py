@@ -154,6 +154,7 @@ class Shard:
         lo, hi = np.zeros(n, np.int64), np.full(n, len(self.array), np.int64)
         matched = np.zeros(n, np.int64)
         window = np.zeros((2, n), np.int64)
+        self.reach = np.zeros(len(self.array), np.int64)  # words that each suffix shares with any test suffix
         live = np.arange(n) if len(self.array) else np.zeros(0, np.int64)
         for k in range(DEPTH):
             live = live[bench.suffix[k, live] > 0]
@@ -165,21 +166,16 @@ class Shard:
             ok = high > low
             live, low, high = live[ok], low[ok], high[ok]
             lo[live], hi[live], matched[live] = low, high, k + 1
+            edges = np.bincount(low, minlength=len(self.array) + 1) - np.bincount(high, minlength=len(self.array) + 1)
+            self.reach[np.cumsum(edges)[:-1] > 0] = k + 1
             full = bench.width[live] == k + 1
             window[0, live[full]], window[1, live[full]] = low[full], high[full]
         return matched, lo, hi, window
 
     def longest(self, matched: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Per text, the longest verbatim match with any item, in words (0 if under two words)."""
-        reach = np.zeros(len(self.array) + 1, np.int64)
-        for depth in range(1, DEPTH + 1):
-            t = np.flatnonzero(matched == depth)
-            line = np.zeros(len(self.array) + 1, np.int64)
-            np.add.at(line, lo[t], 1)
-            np.add.at(line, hi[t], -1)
-            reach[:-1][np.cumsum(line)[:-1] > 0] = depth
         out = np.zeros(self.n_texts, np.int64)
-        np.maximum.at(out, self.doc[self.array], reach[:-1])
+        np.maximum.at(out, self.doc[self.array], self.reach)
         deep = np.flatnonzero((matched == DEPTH) & (self.bench.left > DEPTH))
         upto = np.cumsum(hi[deep] - lo[deep])
         while len(deep):  # some millions of (suffix, place) pairs at a time, at least one suffix

@@ -5,10 +5,13 @@ under its coordinate-value pairs.  A pair of classes above the similarity agrees
 K coordinates (missed with a chance of about 1e-8 at the threshold itself), so it shares a posting
 even if each class is posted under only the K - T + 1 rarest of its pairs: common values are skipped.
 Posting lists of up to `HOT` classes yield all their pairs.  In longer lists each class is first
-paired with the list's smallest and largest class; pairs that agree on T coordinates are confirmed on
-full shingle sets and joined into components.  Long lists that still hold several components are
-then compared block by block, across components only.  So a group of copies costs in proportion to its
-size, and no link that could join two components is left out.
+paired with the list's hub, the class with the fewest shingles of its own (that no other class of a
+long list has): the text of which the others are copies, if it is there.  Pairs that agree on T
+coordinates are confirmed on full shingle sets and joined into components.  Long lists that still hold
+several components are then compared block by block: a pair is a candidate if it lies across
+components, agrees on T coordinates, is in no earlier list together, and could still be similar
+enough without the shingles that one of the two has alone.  So a group of copies costs in proportion to
+its size, and no link that could join two components is left out.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and are
 kept; rows with a null doc_id are not linked and get no component; repeated rows are copies of each
@@ -155,8 +158,9 @@ def _post(hot_cast, prefix: int):
             # The order is one for all classes: frequency (0 unless hot), then coordinate and value.
             pick = np.argsort(count, axis=1, kind="stable")[:, :prefix]
             key = np.take_along_axis(keys, pick, 1).reshape(-1).view(np.int64)
-            n = np.take_along_axis(count, pick, 1).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, prefix)), pa.array(n.astype(np.int64))], ["key", "id", "n_hot"])
+            n = np.take_along_axis(count, pick, 1)
+            bits = np.where(n > 0, np.uint64(1) << pick.astype(np.uint64), np.uint64(0)).sum(1, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, prefix)), pa.array(n.reshape(-1).astype(np.int64)), pa.array(np.repeat(bits, prefix).view(np.int64))], ["key", "id", "n_hot", "in_hot"])
 
     return run
 
@@ -173,19 +177,40 @@ def _agree(least: int):
     return run
 
 
-def _cross(least: int):
-    """Of one block or pair of blocks of a long list: agreeing pairs across components."""
+def _own_grams(k: int):
+    """(id, gram) rows of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in tk.blocks(tk.string_column(batch, "text")):
+                sets, at = shingle_sets(b, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n).take(pa.array(tk.per_row(at))), pa.array(sets.view(np.int64))], ["id", "gram"])
+
+    return run
+
+
+def _cross(least: int, percent: int):
+    """Of one block or pair of blocks of a long list: the pairs across components that may be links."""
+    bit = np.uint64(1) << np.arange(K, dtype=np.uint64)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+        ids, comps, block, n, alone = (table.column(c).to_numpy() for c in ("id", "component", "block", "n_shingles", "n_alone"))
+        hot = table.column("in_hot").to_numpy().view(np.uint64)
         sig = _sig_rows(table.column("sig").combine_chunks())
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        earlier = bit[: table.column("key")[0].as_py() >> 32]
         left = np.flatnonzero(block == low)
         right = np.flatnonzero(block == high)
+        shared = n - alone
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
-            j = right[(comps[right] != comps[i]) & (right > i if low == high else True)]
-            j = j[(sig[j] == sig[i]).sum(1) >= least]
+            most = np.minimum(shared[i], shared[right])
+            j = right[(comps[right] != comps[i]) & (100 * most >= percent * (n[i] + n[right] - most))]
+            if low == high:
+                j = j[j > i]
+            same = sig[j] == sig[i]
+            first = ~(same[:, : len(earlier)] & ((earlier & (hot[i] & hot[j])[:, None]) != 0)).any(1)
+            j = j[first & (same.sum(1) >= least)]
             a.append(np.minimum(ids[i], ids[j]))
             b.append(np.maximum(ids[i], ids[j]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -206,21 +231,23 @@ class NearDuplicates:
     def run(self) -> DataFrame:
         s = self.scratch
         signed = s.put(self.documents.mapInArrow(_sign(self.shingle), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "signed")
+        self.signed = signed
         linkable = signed.filter("n_shingles > 0 and doc_id is not null")
         groups = s.put(linkable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "groups")
         ids = groups.select("id").distinct()
         classes = linkable.select(F.col("doc_id").alias("id"), "sig").join(ids, "id", "left_semi").dropDuplicates(["id", "sig"])
         classes = s.put(classes, "classes")
         lists = self._postings(classes)
-        pairs = self._short_pairs(lists).unionByName(self._star_pairs(lists))
+        alone = self._alone(lists)
+        pairs = self._short_pairs(lists).unionByName(self._star_pairs(lists, alone))
         links = self._confirmed(s.put(self._agreeing(pairs, classes), "pairs"))
         labels = connected_components(links, s)
-        rest = s.put(self._cross_pairs(lists, classes, labels), "cross")
+        rest = s.put(self._cross_pairs(lists, classes, labels, alone), "cross")
         if not rest.isEmpty():
             more = s.put(links.unionByName(self._confirmed(rest)), "links")
             s.drop(links)
             links, labels = more, connected_components(more, s)
-        s.drop(lists, rest)
+        s.drop(lists, rest, alone)
         self.links = links
         component = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
         rows = signed.select("doc_id", "n_shingles", "s1", "s2")
@@ -238,7 +265,7 @@ class NearDuplicates:
         table = hot.toPandas()
         order = np.argsort(table["key"].to_numpy().view(np.uint64))
         cast = self.spark.sparkContext.broadcast((table["key"].to_numpy().view(np.uint64)[order], table["n"].to_numpy()[order]))
-        return self.scratch.put(classes.select("id", "sig").mapInArrow(_post(cast, K - self.least + 1), "key long, id long, n_hot long"), "lists")
+        return self.scratch.put(classes.select("id", "sig").mapInArrow(_post(cast, K - self.least + 1), "key long, id long, n_hot long, in_hot long"), "lists")
 
     @staticmethod
     def _short_pairs(lists: DataFrame) -> DataFrame:
@@ -246,11 +273,23 @@ class NearDuplicates:
         pairs = short.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('a', x, 'b', y))))")).alias("p"))
         return pairs.select("p.a", "p.b")
 
+    def _alone(self, lists: DataFrame) -> DataFrame:
+        """(id, n_shingles, n_alone) of the classes in long lists: how many shingles no other of them has."""
+        ids = self.scratch.put(lists.filter("n_hot > 0").select("id").distinct(), "hot_ids")
+        texts = self.documents.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+        grams = texts.mapInArrow(_own_grams(self.shingle), "id long, gram long")
+        rare = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        counted = rare.filter("n = 1").groupBy("id").agg(F.count("*").alias("n_alone"))
+        sizes = self.signed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles").join(ids, "id", "left_semi").groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
+        # Of an id with several rows nothing is known to be alone.
+        n_alone = F.when(F.col("rows") == 1, F.coalesce("n_alone", F.lit(0))).otherwise(0)
+        return self.scratch.put(sizes.join(counted, "id", "left").select("id", "n_shingles", n_alone.cast("long").alias("n_alone")), "alone")
+
     @staticmethod
-    def _star_pairs(lists: DataFrame) -> DataFrame:
+    def _star_pairs(lists: DataFrame, alone: DataFrame) -> DataFrame:
         long = lists.filter("n_hot > 0").select("key", "id")
-        ends = long.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-        both = long.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("hub")).filter("id != hub")
+        hubs = long.join(alone, "id").groupBy("key").agg(F.min(F.struct("n_alone", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"))
+        both = long.join(hubs, "key").filter("id != hub")
         return both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
     def _agreeing(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -259,15 +298,15 @@ class NearDuplicates:
         right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(self.least), "a long, b long").distinct()
 
-    def _cross_pairs(self, lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-        long = lists.filter("n_hot > 0").select("key", "id").distinct()
+    def _cross_pairs(self, lists: DataFrame, classes: DataFrame, labels: DataFrame, alone: DataFrame) -> DataFrame:
+        long = lists.filter("n_hot > 0").select("key", "id", "in_hot").distinct()
         long = long.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = long.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         rows = long.join(mixed, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        rows = rows.join(classes, "id").select("key", "low", "high", "block", "id", "component", "sig")
-        return rows.groupBy("key", "low", "high").applyInArrow(_cross(self.least), "a long, b long").filter("a < b").distinct()
+        rows = rows.select("key", "id", "in_hot", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        rows = rows.join(classes, "id").join(alone, "id").select("key", "low", "high", "block", "id", "in_hot", "component", "n_shingles", "n_alone", "sig")
+        return rows.groupBy("key", "low", "high").applyInArrow(_cross(self.least, self.percent), "a long, b long").filter("a < b").distinct()
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full shingle sets are similar enough."""
