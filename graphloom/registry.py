@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ["operators.lookup"]
+
+
+def _modules():
+    return [importlib.import_module(f"graphloom.{m}") for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
