@@ -84,7 +84,7 @@ class Graph:
     @cached_property
     def commits(self) -> DataFrame:
         return self.table("orders").select(
-            F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("author"), F.col("o_custkey").cast("string")).alias("author"), F.unix_millis("o_orderdate").alias("timestamp"),
+            F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("author"), F.col("o_custkey").cast("string")).alias("author"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp"),
             F.concat(pick(["feat", "fix", "docs", "chore"], F.col("o_orderkey") % 4), F.lit("(core): change "), F.col("o_orderkey").cast("string")).alias("message"),
         )
 

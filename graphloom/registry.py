@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["operators.lookup"]
+MODULES = ["operators.lookup", "operators.joins", "operators.aggregates"]
 
 
 def _modules():
