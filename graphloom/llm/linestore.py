@@ -161,7 +161,8 @@ def _apply(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 
 def _with_lost(documents: DataFrame, lost: DataFrame) -> DataFrame:
     lost = lost.select(F.col("doc_id").alias("__lost_id"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2"))
-    return documents.join(lost, F.col("doc_id").cast("long") == F.col("__lost_id"), "left").drop("__lost_id")
+    # The list grows with the corpus: it is merged, never broadcast.
+    return documents.join(lost.hint("merge"), F.col("doc_id").cast("long") == F.col("__lost_id"), "left").drop("__lost_id")
 
 
 def report(documents: DataFrame, **rule) -> DataFrame:
