@@ -177,18 +177,6 @@ def _agree(least: int):
     return run
 
 
-def _own_grams(k: int):
-    """(id, gram) rows of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in tk.blocks(tk.string_column(batch, "text")):
-                sets, at = shingle_sets(b, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n).take(pa.array(tk.per_row(at))), pa.array(sets.view(np.int64))], ["id", "gram"])
-
-    return run
-
-
 def _cross(least: int, percent: int):
     """Of one block or pair of blocks of a long list: the pairs across components that may be links."""
     bit = np.uint64(1) << np.arange(K, dtype=np.uint64)
@@ -238,16 +226,21 @@ class NearDuplicates:
         classes = linkable.select(F.col("doc_id").alias("id"), "sig").join(ids, "id", "left_semi").dropDuplicates(["id", "sig"])
         classes = s.put(classes, "classes")
         lists = self._postings(classes)
-        alone = self._alone(lists)
+        hot_ids = s.put(lists.filter("n_hot > 0").select("id").distinct(), "hot_ids")
+        hot_sets = self._sets(hot_ids)
+        alone = self._alone(hot_sets, hot_ids)
         pairs = self._short_pairs(lists).unionByName(self._star_pairs(lists, alone))
-        links = self._confirmed(s.put(self._agreeing(pairs, classes), "pairs"))
+        pairs = s.put(self._agreeing(pairs, classes), "pairs")
+        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = self._sets(nodes.join(hot_ids, "id", "left_anti"))
+        links = self._confirmed(pairs, sets.unionByName(hot_sets))
         labels = connected_components(links, s)
         rest = s.put(self._cross_pairs(lists, classes, labels, alone), "cross")
         if not rest.isEmpty():
-            more = s.put(links.unionByName(self._confirmed(rest)), "links")
+            more = s.put(links.unionByName(self._confirmed(rest, hot_sets)), "links")
             s.drop(links)
             links, labels = more, connected_components(more, s)
-        s.drop(lists, rest, alone)
+        s.drop(lists, rest, alone, sets, hot_sets)
         self.links = links
         component = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
         rows = signed.select("doc_id", "n_shingles", "s1", "s2")
@@ -273,11 +266,14 @@ class NearDuplicates:
         pairs = short.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('a', x, 'b', y))))")).alias("p"))
         return pairs.select("p.a", "p.b")
 
-    def _alone(self, lists: DataFrame) -> DataFrame:
+    def _sets(self, ids: DataFrame) -> DataFrame:
+        """(id, grams) of the rows with these ids.  The ids may be many: they are never broadcast."""
+        texts = self.documents.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi")
+        return self.scratch.put(texts.mapInArrow(_sets(self.shingle), "id long, grams array<long>"), "sets")
+
+    def _alone(self, sets: DataFrame, ids: DataFrame) -> DataFrame:
         """(id, n_shingles, n_alone) of the classes in long lists: how many shingles no other of them has."""
-        ids = self.scratch.put(lists.filter("n_hot > 0").select("id").distinct(), "hot_ids")
-        texts = self.documents.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-        grams = texts.mapInArrow(_own_grams(self.shingle), "id long, gram long")
+        grams = sets.select("id", F.explode("grams").alias("gram"))
         rare = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id"))
         counted = rare.filter("n = 1").groupBy("id").agg(F.count("*").alias("n_alone"))
         sizes = self.signed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles").join(ids, "id", "left_semi").groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
@@ -308,16 +304,11 @@ class NearDuplicates:
         rows = rows.join(classes, "id").join(alone, "id").select("key", "low", "high", "block", "id", "in_hot", "component", "n_shingles", "n_alone", "sig")
         return rows.groupBy("key", "low", "high").applyInArrow(_cross(self.least, self.percent), "a long, b long").filter("a < b").distinct()
 
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+    def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs whose full shingle sets are similar enough."""
-        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = self.documents.withColumnRenamed("doc_id", "id").join(nodes, "id", "left_semi")
-        sets = self.scratch.put(texts.mapInArrow(_sets(self.shingle), "id long, grams array<long>"), "sets")
         joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         shared = joined.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("t"))
-        links = self.scratch.put(shared.filter(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i"))).select("a", "b").distinct(), "links")
-        self.scratch.drop(sets)
-        return links
+        return self.scratch.put(shared.filter(100 * F.col("i") >= self.percent * (F.col("t") - F.col("i"))).select("a", "b").distinct(), "links")
 
 
 def report(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
