@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["operators.lookup", "operators.joins", "operators.aggregates"]
+MODULES = ["operators.lookup", "operators.joins", "operators.aggregates", "operators.windows", "operators.paths"]
 
 
 def _modules():
