@@ -205,7 +205,7 @@ def _far(g: Graph) -> str:
 
 QUERIES = {
     "reachability": _q(lambda g: reach(g.sparse_calls, _nodes(g, _busiest(g)), 4)),
-    "find_call_paths": _q(lambda g: call_paths(g.sparse_calls, _nodes(g, _busiest(g)), reach(g.sparse_calls, _nodes(g, _busiest(g)), 4).filter("distance >= 2").select("node"), 5)),
+    "find_call_paths": _q(lambda g: call_paths(g.sparse_calls, g.symbols.filter("name = 'red widget'").select(F.col("qualified_name").alias("node")), g.symbols.filter("kind = 'function'").select(F.col("qualified_name").alias("node")), 5)),
     "shortest_path": _q(lambda g: shortest_path(typed_edges(g), _busiest(g), _far(g)).select("length")),
     "all_paths": _q(lambda g: all_paths(typed_edges(g), _busiest(g), _far(g), 5)),
     "neighborhood": _q(lambda g: neighborhood(typed_edges(g), _busiest(g))),
@@ -213,7 +213,7 @@ QUERIES = {
     "impact": _q(lambda g: impact(g.symbols, g.sparse_calls, g.inherits, "part:5")),
     "bridge_direct": _q(lambda g: connected_directly(typed_edges(g, False), "part:5", "part:6")),
     "cycles_calls": _q(lambda g: cycles(g.sparse_calls, 5, 50)),
-    "cycles_imports": _q(lambda g: cycles(g.imports.filter("weight > 1"), 3, 10)),
+    "cycles_imports": _q(lambda g: cycles(g.imports, 2, 10)),
     "dead_code": _q(lambda g: dead_code(g.symbols, g.sparse_calls, ["main", "init", "__init__", "constructor"]), "qualified_name", "name", "file"),
     "k_hop_calls": _q(lambda g: reach(g.calls, _nodes(g, "part:5"), 1).filter("distance = 1"), "node"),
     "modules": _q(lambda g: modules(g.files)),
@@ -227,7 +227,7 @@ _FAR = ", far AS MATERIALIZED (SELECT node AS f FROM lv ORDER BY distance DESC,
 _CYC = ", e0 AS MATERIALIZED ({edges}), p(s, nodes, n) AS (SELECT src, [src, dst], 1 FROM e0 UNION ALL SELECT p.s, list_append(nodes, e0.dst), n + 1 FROM p JOIN e0 ON e0.src = nodes[-1] WHERE n < {n} AND nodes[-1] <> p.s AND (e0.dst = p.s OR NOT list_contains(nodes, e0.dst)))"
 ORACLES = {k: twin(v) for k, v in {
     "reachability": _BFS.format(start=_START, edges="sparse_calls", depth=4) + " SELECT node, distance::INT AS distance FROM lv",
-    "find_call_paths": _BFS.format(start=_START, edges="sparse_calls", depth=4) + ", tp(nodes, used, n) AS (SELECT [src], []::VARCHAR[], 0 FROM st UNION ALL SELECT list_append(nodes, e.dst), list_append(used, e.src || '>' || e.dst), n + 1 FROM tp JOIN sparse_calls e ON e.src = nodes[-1] WHERE n < 5 AND NOT list_contains(used, e.src || '>' || e.dst)) SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM tp WHERE n > 0 AND nodes[-1] IN (SELECT node FROM lv WHERE distance >= 2) ORDER BY n, path LIMIT 100",
+    "find_call_paths": ", tp(nodes, used, n) AS (SELECT [qualified_name], []::VARCHAR[], 0 FROM symbols WHERE name = 'red widget' UNION ALL SELECT list_append(nodes, e.dst), list_append(used, e.src || '>' || e.dst), n + 1 FROM tp JOIN sparse_calls e ON e.src = nodes[-1] WHERE n < 5 AND NOT list_contains(used, e.src || '>' || e.dst)) SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM tp WHERE n > 0 AND nodes[-1] IN (SELECT qualified_name FROM symbols WHERE kind = 'function') ORDER BY n, path LIMIT 100",
     "shortest_path": _TYPED + _BFS.format(start=_START, edges="ud", depth=4) + _FAR + " SELECT distance::INT AS length FROM lv WHERE node = (SELECT f FROM far)",
     "all_paths": _TYPED + _BFS.format(start=_START, edges="ud", depth=4) + _FAR + ", us AS MATERIALIZED (SELECT DISTINCT src, dst FROM ud), ap(nodes, n) AS (SELECT [src], 0 FROM st UNION ALL SELECT list_append(nodes, e.dst), n + 1 FROM ap JOIN us e ON e.src = nodes[-1] WHERE n < 5 AND nodes[-1] <> (SELECT f FROM far) AND NOT list_contains(nodes, e.dst)) SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM ap WHERE n > 0 AND nodes[-1] = (SELECT f FROM far) ORDER BY n, path LIMIT 10",
     "neighborhood": _TYPED + _BFS.format(start=_START, edges="ud", depth=2) + " SELECT l.node, l.distance::INT AS distance, (SELECT min(u.type) FROM ud u JOIN lv x ON x.node = u.src WHERE u.dst = l.node AND x.distance = l.distance - 1) AS relationship, coalesce((SELECT CASE WHEN bool_or(fwd) AND bool_or(NOT fwd) THEN 'both' WHEN bool_or(fwd) THEN 'outgoing' WHEN bool_or(NOT fwd) THEN 'incoming' END FROM ud WHERE src = (SELECT src FROM st) AND dst = l.node), 'indirect') AS direction FROM lv l WHERE l.distance > 0 ORDER BY 2, 1 LIMIT 50",
@@ -235,7 +235,7 @@ ORACLES = {k: twin(v) for k, v in {
     "impact": _BFS.format(start="(SELECT 'part:5' AS src)", edges="(SELECT dst AS src, src AS dst FROM sparse_calls)", depth=3) + ", ind AS (SELECT node FROM lv WHERE distance > 1 ORDER BY distance, node LIMIT 50), kids AS (SELECT src AS node, type FROM inherits WHERE dst = 'part:5'), touched AS (SELECT node FROM lv WHERE distance = 1 UNION SELECT node FROM ind UNION SELECT node FROM kids), c AS (SELECT (SELECT count(*) FROM lv WHERE distance = 1) AS direct, (SELECT count(*) FROM ind) AS indirect, (SELECT count(*) FROM kids WHERE type = 'implements') AS implementors, (SELECT count(*) FROM kids WHERE type = 'extends') AS extenders, (SELECT count(DISTINCT file) FROM symbols WHERE qualified_name IN (SELECT node FROM touched)) AS files, (SELECT count(*) FROM touched) AS total) SELECT *, CASE WHEN direct > 20 OR files > 15 THEN 'critical' WHEN direct > 10 OR files > 8 OR total > 30 THEN 'high' WHEN direct > 3 OR files > 3 OR total > 10 THEN 'medium' ELSE 'low' END AS risk FROM c",
     "bridge_direct": "SELECT (SELECT count(*) FROM calls WHERE (src, dst) IN (('part:5', 'part:6'), ('part:6', 'part:5'))) > 0 AS direct",
     "cycles_calls": _CYC.format(edges="SELECT src, dst FROM sparse_calls WHERE src <> dst", n=5) + " SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM p WHERE n >= 2 AND nodes[-1] = s ORDER BY n, path LIMIT 50",
-    "cycles_imports": _CYC.format(edges="SELECT src, dst FROM imports WHERE weight > 1 AND src <> dst", n=3) + " SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM p WHERE n >= 2 AND nodes[-1] = s ORDER BY n, path LIMIT 10",
+    "cycles_imports": _CYC.format(edges="SELECT src, dst FROM imports WHERE src <> dst", n=2) + " SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM p WHERE n >= 2 AND nodes[-1] = s ORDER BY n, path LIMIT 10",
     "dead_code": "SELECT qualified_name, name, file FROM symbols WHERE kind = 'function' AND qualified_name NOT IN (SELECT dst FROM sparse_calls) ORDER BY qualified_name LIMIT 100",
     "k_hop_calls": "SELECT DISTINCT dst AS node FROM calls WHERE src = 'part:5' AND dst <> 'part:5'",
     "modules": "SELECT DISTINCT split_part(path, '/', 1) AS module FROM files",
