@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["operators.lookup", "operators.joins", "operators.aggregates", "operators.windows", "operators.paths", "operators.vectors", "operators.hybrid", "operators.upsert", "functions.text"]
+MODULES = ["operators.lookup", "operators.joins", "operators.aggregates", "operators.windows", "operators.paths", "operators.vectors", "operators.hybrid", "operators.upsert", "functions.text", "operators.knowledge", "operators.models"]
 
 
 def _modules():
