@@ -1,21 +1,36 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and folders that the whole cluster shares."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one of our own only where it is unset (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="graphloom-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return "file://" + _own[0]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a temporary folder is set only where that is unset (tests)."""
+    """A reliable checkpoint, which every executor can read."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            where = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-            atexit.register(shutil.rmtree, where, True)
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
