@@ -27,6 +27,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_100_WORDS = 10
 MAX_DUP_LINES_PERCENT = 30
+#: Fewer repeated lines than this are no fault, however short the text.
+LEAST_DUP_LINES = 3
 MAX_HOST_RATE = 0.75
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -96,13 +98,13 @@ def base_failed():
 
 def own_failed():
     """Any rule of a document's own: the base rules, symbols per word, repeated lines."""
-    return base_failed() | (100 * F.col("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * F.col("n_words")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINES_PERCENT * F.col("n_lines"))
+    return base_failed() | (100 * F.col("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * F.col("n_words")) | ((F.col("n_dup_lines") >= LEAST_DUP_LINES) & (100 * F.col("n_dup_lines") > MAX_DUP_LINES_PERCENT * F.col("n_lines")))
 
 
 def own_failed_rows(m: np.ndarray) -> np.ndarray:
     """The same rules over an array of measures."""
     n_words, _, n_symbols, n_dup, n_repeat, n_lines = m.T
-    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words) | (100 * n_symbols > MAX_SYMBOLS_PER_100_WORDS * n_words) | (100 * n_dup > MAX_DUP_LINES_PERCENT * n_lines)
+    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words) | (100 * n_symbols > MAX_SYMBOLS_PER_100_WORDS * n_words) | ((n_dup >= LEAST_DUP_LINES) & (100 * n_dup > MAX_DUP_LINES_PERCENT * n_lines))
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:

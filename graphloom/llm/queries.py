@@ -130,7 +130,7 @@ m AS (SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, length(array_to_stri
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-o AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines AS own FROM f),
+o AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) AS own FROM f),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(own::INT)::DOUBLE AS x FROM o WHERE source IS NOT NULL GROUP BY source),
 s AS (SELECT sum(n) AS n, sum(x) AS x, count(*)::DOUBLE AS h, sum(n * n) AS nn, sum(x * x / n) AS xx, least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS m FROM h),
 v AS (SELECT m, (xx - x * x / n - (h - 1) * m * (1 - m)) / nullif(n - nn / n, 0) AS between FROM s),
