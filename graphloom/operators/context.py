@@ -96,10 +96,10 @@ def routed(query: Column) -> Column:
 
 
 def resume(paths: DataFrame, after: int, most: int, last_count: int) -> DataFrame:
-    """The next chunk of an ordered listing: after the index reached, from the start if the listing has changed.
+    """The next chunk of a listing ordered by folder and path: after the index reached, from the start if the listing has changed.
 
     The listing is numbered by folder first, so no task ever holds all of it."""
-    folder = F.regexp_extract("path", r"^(.*?)/", 1)
+    folder = F.regexp_extract("path", r"^(.*)/", 1)
     p = paths.withColumn("folder", folder)
     before = Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)
     starts = p.groupBy("folder").agg(F.count("*").alias("n")).select("folder", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -148,6 +148,6 @@ ORACLES = {k: twin(v) for k, v in {
     "explain_risk": "SELECT dst, 'Risk ' || CASE WHEN n > 20 OR f > 15 THEN 'critical' WHEN n > 10 OR f > 8 OR n > 30 THEN 'high' WHEN n > 3 OR f > 3 OR n > 10 THEN 'medium' ELSE 'low' END || ': ' || n || ' direct callers, ' || n || ' in all, ' || f || ' files' AS text FROM (SELECT dst, count(*) AS n, count(DISTINCT file) AS f FROM calls JOIN symbols ON qualified_name = src GROUP BY dst)",
     "explain_path": "SELECT qualified_name, file || ' -> ' || kind || ' -> ' || name || ' (2 steps)' AS text FROM symbols",
     "intent_route": "SELECT * FROM (VALUES " + ", ".join(f"({q!r}, {i!r})" for q, i in zip(_ASK, ["callers", "callees", "file_symbols", "stats", "symbol", "search"], strict=True)) + ") v(query, intent)",
-    "chunked_resume": "SELECT path, i AS index FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS i FROM docs) WHERE i BETWEEN 100 AND 149",
+    "chunked_resume": "SELECT path, i AS index FROM (SELECT path, row_number() OVER (ORDER BY regexp_extract(path, '^(.*)/', 1), path) - 1 AS i FROM docs) WHERE i BETWEEN 100 AND 149",
     "auto_context": f"SELECT h.id, signature FROM (SELECT * FROM {_TOP.format(10)} WHERE score >= 0.1 ORDER BY score DESC, id LIMIT 8) h JOIN symbols USING (qualified_name)",
 }.items()}
