@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from graphloom.llm import textkit as tk
 
 TEMPERATURE = 0.001
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
+#: Chances are compared as whole numbers out of this many.
+DRAWS = 1 << 31
 
 
 class Pieces:
@@ -135,16 +137,20 @@ class Lattice:
             whole[s[width[s] == n]] = True
         lone = begin[~whole[begin]]
         start = np.concatenate([*starts, lone]).astype(np.int32)
-        piece = np.concatenate([*which, np.full(len(lone), len(p.ids))])  # the last number: byte pieces
-        length = np.concatenate([*(np.full(len(s), n, np.int32) for s, n in zip(starts, lengths, strict=True)), width[lone]])
+        piece = np.concatenate([*which, np.full(len(lone), len(p.ids))]).astype(np.int32)  # the last number: byte pieces
+        length = np.concatenate([*(np.full(len(s), n, np.uint8) for s, n in zip(starts, lengths, strict=True)), width[lone].astype(np.uint8)])
+        del starts, which, running, left
         # Edges by the node at which they end; a node is a byte place, and a unit's end is where the next starts.
-        order = np.argsort(start + length)
+        # Within a node by length, so that a draw never depends on what else is in the block.
+        order = np.argsort((start + length).astype(np.int64) << 8 | length).astype(np.int32)
         self.start, self.length, piece = start[order], length[order], piece[order]
-        self.ids = np.append(p.ids, -1)[piece]
+        del start, length, order
+        self.ids = np.append(p.ids, -1).astype(np.int32)[piece]
         weight = np.append(p.weight, p.fallback)[piece]
+        del piece
         end = self.start + self.length
         if not len(end):
-            self.node, self.scale = np.zeros(len(raw) + 1, np.int64), np.zeros(0)
+            self.node, self.scale = np.zeros(len(raw) + 1, np.int64), np.zeros(0, np.int64)
             return
         first = np.concatenate(([0], np.flatnonzero(np.diff(end)) + 1))
         count = np.diff(np.append(first, len(end)))
@@ -171,14 +177,19 @@ class Lattice:
             chance[edge] = np.exp(v - np.repeat(total, n))
         self.node = np.zeros(len(raw) + 1, np.int64)
         self.node[nodes] = np.arange(len(nodes))
-        total = np.cumsum(chance)
-        inner = np.minimum(total - np.repeat(total[first] - chance[first], count), 1.0)
-        inner[np.append(first[1:], len(end)) - 1] = 1.0
-        self.scale = np.repeat(np.arange(len(nodes)), count) + inner  # a node's own values lie in (number, number + 1]
+        del weight, end, from_floor, alpha
+        # Chances are summed within each node alone, in edge order: the same sums wherever the unit stands.
+        for k in range(1, int(count.max())):
+            more = first[count > k] + k
+            chance[more] += chance[more - 1]
+        chance[np.append(first[1:], len(chance)) - 1] = 1.0
+        np.minimum(chance, 1.0, out=chance)
+        chance *= DRAWS
+        self.scale = (np.repeat(np.arange(len(nodes)), count) << 32) + chance.astype(np.int64)
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge that ends at each place."""
-        return np.searchsorted(self.scale, self.node[place] + u, "left")
+        """An edge that ends at each place, for numbers u from 0 below DRAWS."""
+        return np.searchsorted(self.scale, (self.node[place] << 32) + u, "right")
 
 
 def units(b: tk.Block) -> tuple[tk.Block, np.ndarray, np.ndarray]:
@@ -211,6 +222,7 @@ def sample_block(b: tk.Block, keys: np.ndarray, p: Pieces, seed: int = 0) -> tup
     size = ends[one] - starts[one]
     at = np.concatenate(([0], np.cumsum(size)))
     own = block.raw[np.repeat(starts[one] - at[:-1], size) + np.arange(at[-1])]
+    del h, new, ends
     lattice = Lattice(own, at, p)
     text = tk.per_row(per_text)[order]
     number = order - per_text[:-1][text]
@@ -221,11 +233,9 @@ def sample_block(b: tk.Block, keys: np.ndarray, p: Pieces, seed: int = 0) -> tup
     step = 0
     while len(live):
         r = tk.mix(row_seed[live] + U64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        # In (0, 1], so that the search from the left never leaves the node.
-        u = ((r >> U64(11)).astype(np.float64) + 1) * 2.0**-53
-        edge = lattice.draw(place[live], u)
-        drawn_by.append(live)
-        drawn.append(edge)
+        edge = lattice.draw(place[live], (r >> U64(33)).astype(np.int64))
+        drawn_by.append(live.astype(np.int32))
+        drawn.append(edge.astype(np.int32))
         place[live] = lattice.start[edge]
         live = live[place[live] > floor[live]]
         step += 1
@@ -235,13 +245,13 @@ def sample_block(b: tk.Block, keys: np.ndarray, p: Pieces, seed: int = 0) -> tup
     by_unit = np.empty(len(order), np.int64)
     by_unit[order] = count
     offset = np.concatenate(([0], np.cumsum(by_unit)))[:-1][order] + count - 1
-    edges = np.empty(int(count.sum()), np.int64)
+    edges = np.empty(int(count.sum()), np.int32)
     for k, (x, e) in enumerate(zip(drawn_by, drawn, strict=True)):
         edges[offset[x] - k] = e
     ids = lattice.ids[edges] if len(edges) else edges
     bounds = np.concatenate(([0], np.cumsum(by_unit)))[per_text]
     if (ids < 0).any():
-        wide = np.where(ids < 0, lattice.length[edges], 1)
+        wide = np.where(ids < 0, lattice.length[edges], 1).astype(np.int64)
         to = np.concatenate(([0], np.cumsum(wide)))
         out = np.repeat(ids, wide)
         inside = np.arange(len(out)) - np.repeat(to[:-1], wide)

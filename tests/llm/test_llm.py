@@ -415,6 +415,20 @@ def test_sampled_pieces_have_the_lattice_distribution():
         assert abs(seen[way] / n - c) < 5 * math.sqrt(c * (1 - c) / n) + 2e-3
 
 
+def test_sampled_pieces_do_not_depend_on_the_block():
+    p = segment.pieces(PIECES)
+    texts = pa.array([t for _, t, *_ in corpus()])
+    keys = np.arange(len(texts), dtype=np.uint64)
+    found = []
+    for limit in (1, 300, 20_000, 1 << 22):
+        rows = []
+        for b in tk.blocks(texts, limit):
+            ids, at, _ = segment.sample_block(b, keys[b.first : b.first + b.n], p)
+            rows += [ids[at[i] : at[i + 1]].tolist() for i in range(b.n)]
+        found.append(rows)
+    assert found[0] == found[1] == found[2] == found[3]
+
+
 def test_sampled_pieces_are_lossless_and_depend_on_the_key_alone(spark, docs):
     p = segment.pieces(PIECES)
     one = {(r["doc_id"], tuple(r["ids"])) for r in segment.sample(docs, PIECES).collect() if r["doc_id"] is not None}
