@@ -29,11 +29,11 @@ def inline_array(value: Column) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """path, line (from 1), content, and whether the line is in fenced code or front matter."""
-    rows = docs.select("path", F.regexp_extract("text", FRONT, 0).alias("front"), F.posexplode(F.split("text", "\n")).alias("n", "content"))
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.col("content").rlike(r"^\s*(```|~~~)").cast("int")
-    head = F.size(F.split("front", "\n")) - 1
-    return rows.withColumn("inside", (F.coalesce(F.sum(fence).over(w), F.lit(0)) % 2 == 1) | (fence == 1) | (F.col("n") < head)).select("path", (F.col("n") + 1).alias("line"), "content", "inside")
+    fences = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"^\s*(```|~~~)"), i)), lambda i: i.isNotNull())
+    head = F.size(F.split(F.regexp_extract("text", FRONT, 0), "\n")) - 1
+    rows = docs.select("path", fences.alias("fences"), head.alias("head"), F.posexplode(F.split("text", "\n")).alias("n", "content"))
+    open_ = F.size(F.filter("fences", lambda i: i < F.col("n"))) % 2 == 1
+    return rows.select("path", (F.col("n") + 1).alias("line"), "content", (open_ | F.array_contains("fences", F.col("n")) | (F.col("n") < F.col("head"))).alias("inside"))
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def resolve_link(document: Column, target: Column) -> Column:
 
 def sections(docs: DataFrame, depth: int = 2) -> DataFrame:
     """Parts of a document between headings of level <= depth, the part before the first one included."""
-    last = lines(docs).groupBy("path").agg(F.max("line").alias("last"))
+    last = docs.select("path", F.size(F.split("text", "\n")).alias("last"))
     heads = headings(docs).filter(F.col("level") <= depth).select("path", "line", "text")
     first = docs.select("path", F.lit(1).alias("line"), F.lit("").alias("text")).join(heads.filter("line = 1").select("path"), "path", "left_anti")
     w = Window.partitionBy("path").orderBy("line")
@@ -85,16 +85,15 @@ def document_type(path: Column, text: Column) -> Column:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """One chunk per section with its text."""
-    s = sections(docs)
-    inside = lines(docs).join(s.select("path", "id", "start", "end"), "path").filter("line between start and end")
-    return inside.groupBy("path", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    text = F.array_join(F.slice(F.split("text", "\n"), F.col("start"), F.col("end") - F.col("start") + 1), "\n")
+    return docs.select("path", "text").join(sections(docs).select("path", "id", "start", "end"), "path").select("path", "id", text.alias("text"))
 
 
 def derived(g: Graph) -> DataFrame:
-    """Documents of the data made Markdown: front matter, two headings, a link and a fence around the first text."""
+    """Documents of the data made Markdown: front matter, two headings, a link and a fence around the whole text, in one line."""
     head = F.format_string("---\ntitle: Doc %d\ntags: [%s, \"x y\"]\n---\n# Title %d\n", "doc_id", "lang", "doc_id")
-    body = F.regexp_replace(F.substring("text", 1, 60), "[\n`~#-]", " ")
-    return g.documents.filter("doc_id < 300").select("path", F.concat(head, body, F.lit("\n```\n# no heading\n```\n## Part Two\nsee [x](../b/c.ts) and https://e.org/z\n"), F.repeat(F.lit("line\n"), (F.col("doc_id") % 4).cast("int"))).alias("text"), "doc_id")
+    body = F.regexp_replace("text", "[\n`~#-]", " ")
+    return g.documents.select("path", F.concat(head, body, F.lit("\n```\n# no heading\n```\n## Part Two\nsee [x](../b/c.ts) and https://e.org/z\n"), F.repeat(F.lit("line\n"), (F.col("doc_id") % 4).cast("int"))).alias("text"), "doc_id")
 
 
 def _q(f):
