@@ -154,7 +154,7 @@ QUERIES = {
     "nested_counts": _q(lambda g: g.files.agg(F.count("*").alias("files")).join(g.symbols.agg(F.count("*").alias("symbols"))).join(g.calls.agg(F.count("*").alias("relationships")))),
     "prompt_stats": _q(lambda g: g.files.agg(F.count("*").alias("files"), F.round(F.avg("complexity"), 3).alias("average")).join(g.symbols.agg(F.count("*").alias("symbols")))),
     "hot_spots": _q(lambda g: hot_spots(g.symbols, g.calls), "qualified_name", "name", "file", "incoming"),
-    "hotspots_summary": _q(lambda g: hot_spots(g.symbols, g.sparse_calls, None, 2, 15).withColumn("line", F.split("docstring", r"[.!?]")[0]), "qualified_name", "incoming", "line"),
+    "hotspots_summary": _q(lambda g: hot_spots(g.symbols, g.calls, None, 2, 15).withColumn("line", F.split("docstring", r"[.!?]")[0]), "qualified_name", "incoming", "line"),
     "hubs": _q(lambda g: hubs(g.symbols, g.calls), "qualified_name", "incoming", "outgoing", "total"),
     "top_callers": _q(lambda g: top_sources(g.calls)),
     "top_importers": _q(lambda g: top_sources(g.imports)),

@@ -128,9 +128,9 @@ _ASK = ["who calls parse", "what does main call", "symbols in a.py", "how many f
 _q = lambda f: lambda spark, sf_dir: f(Graph(spark, sf_dir))
 QUERIES = {
     "hierarchy_navigate": _q(lambda g: navigate(hierarchy(g.files, g.symbols))),
-    "nav_hints": _q(lambda g: nav_hints(g.symbols, g.sparse_calls, ["red widget", "small ring"])),
+    "nav_hints": _q(lambda g: nav_hints(g.symbols, g.calls, ["red widget", "small ring"])),
     "position_context": _q(lambda g: top_per_key(g.symbols, "file", ["qualified_name"], 5).select("file", "qualified_name", "signature", "rank")),
-    "assemble_context": _q(lambda g: assemble_context(_hits(g, 5), g.symbols, g.sparse_calls, 500)),
+    "assemble_context": _q(lambda g: assemble_context(_hits(g, 5), g.symbols, g.calls, 500)),
     "snapshot_context": _q(_snapshot),
     "explain_risk": _q(_risk),
     "explain_path": _q(lambda g: g.symbols.select("qualified_name", explain_path(F.array("file", "kind", "name")).alias("text"))),

@@ -99,11 +99,12 @@ def resolve_calls(raw_calls: DataFrame, symbols: DataFrame, imports: DataFrame)
     all symbols of the name to the largest, the last registered."""
     s = symbols.select(F.col("name").alias("callee"), F.col("file").alias("t_file"), F.col("qualified_name").alias("target"))
     base = raw_calls.select("file", "caller", "callee").distinct()
-    near = base.join(s, "callee").join(imports.select(F.col("src").alias("i_src"), F.col("dst").alias("i_dst")), (F.col("file") == F.col("i_src")) & (F.col("t_file") == F.col("i_dst")), "left")
+    wanted = base.select("file", "callee").distinct()
+    near = wanted.join(s.groupBy("callee", "t_file").agg(F.min("target").alias("target")), "callee").join(imports.select(F.col("src").alias("i_src"), F.col("dst").alias("i_dst")), (F.col("file") == F.col("i_src")) & (F.col("t_file") == F.col("i_dst")), "left")
     tier = F.when(F.col("t_file") == F.col("file"), 1).when(F.col("i_dst").isNotNull(), 2)
-    close = near.withColumn("tier", tier).filter("tier is not null").groupBy("file", "caller", "callee").agg(F.min(F.struct("tier", "target")).alias("best"))
+    close = near.withColumn("tier", tier).filter("tier is not null").groupBy("file", "callee").agg(F.min(F.struct("tier", "target")).alias("best"))
     any_ = s.groupBy("callee").agg(F.max("target").alias("last"))
-    out = base.join(close, ["file", "caller", "callee"], "left").join(any_, "callee")
+    out = base.join(close, ["file", "callee"], "left").join(any_, "callee")
     return out.select("file", "caller", "callee", F.coalesce("best.target", "last").alias("target"), F.coalesce("best.tier", F.lit(3)).alias("tier"))
 
 
@@ -166,7 +167,7 @@ def resolve_imports(sources: DataFrame, files: DataFrame, extensions: list[str])
 
 def _raw_calls(g: Graph) -> DataFrame:
     home = g.symbols.select("qualified_name", "name", "file")
-    return g.sparse_calls.join(home.toDF("src", "x", "file"), "src").join(home.toDF("dst", "callee", "y"), "dst").select("file", F.col("src").alias("caller"), "callee")
+    return g.calls.join(home.toDF("src", "x", "file"), "src").join(home.toDF("dst", "callee", "y"), "dst").select("file", F.col("src").alias("caller"), "callee")
 
 
 def _links(g: Graph) -> DataFrame:
@@ -194,7 +195,7 @@ QUERIES = {
     "docs_for_target": _q(lambda g: docs_for_target(g.describes, g.documents, g.symbols, "part:40"), "path", "type"),
     "related_docs": _q(lambda g: related_docs(g.references, g.documents, "docs/src5/5.md"), "path", "type"),
     "symbol_ctx": _q(lambda g: symbol_context(g.symbols, g.files, "red widget"), *_S, "language"),
-    "related_imports_calls": _q(lambda g: related(g.symbols, g.sparse_calls, g.imports, "part:17")),
+    "related_imports_calls": _q(lambda g: related(g.symbols, g.calls, g.imports, "part:17")),
     "symbols_left_file": _q(lambda g: symbols_left_file(g.symbols, g.files.filter("language != 'go'")), *_S, "language"),
     "prd_list": _q(lambda g: prd_list(g.requirements)),
     "prd_chunks": _q(lambda g: prd_chunks(g.requirements, g.implementations), "id", "prd_id", "priority", "implementations"),

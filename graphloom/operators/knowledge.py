@@ -167,12 +167,12 @@ QUERIES = {
     "summary_dir": _q(lambda g: summarize_directories(summarize_files(_level1(g)), 2)),
     "summary_delta": _q(lambda g: delta_cost(summary_delta(_level1(g), summarize_symbols(_new(g))), "budget")),
     "summary_children": _q(lambda g: _level1(g).filter("parent = 'file:Brand#3/SMALL'").orderBy("id").limit(100).select("id", "level", "summary")),
-    "codebase_summary": _q(lambda g: hot_spots(g.symbols, g.sparse_calls, "function", 0, 5).select(F.concat(F.lit("hot:"), "qualified_name").alias("item")).unionByName(g.files.groupBy("language").agg(F.count("*").alias("n")).select(F.concat_ws(":", F.lit("language"), "language", F.col("n").cast("string")).alias("item")))),
+    "codebase_summary": _q(lambda g: hot_spots(g.symbols, g.calls, "function", 0, 5).select(F.concat(F.lit("hot:"), "qualified_name").alias("item")).unionByName(g.files.groupBy("language").agg(F.count("*").alias("n")).select(F.concat_ws(":", F.lit("language"), "language", F.col("n").cast("string")).alias("item")))),
     "detect_patterns": _q(lambda g: detect_patterns(g.files, PATTERNS)),
     "session_upsert": _q(lambda g: about_edges(g.turns, g.symbols)),
     "symbol_changes": _q(lambda g: symbol_changes(_old(g), _new(g)).select("qualified_name", "file", "change")),
-    "affected_callers": _q(lambda g: affected_callers(symbol_changes(_old(g), _new(g)), g.sparse_calls, g.symbols)),
-    "breaking_changes": _q(lambda g: breaking_changes(affected_callers(symbol_changes(_old(g), _new(g)), g.sparse_calls, g.symbols))),
+    "affected_callers": _q(lambda g: affected_callers(symbol_changes(_old(g), _new(g)), g.calls, g.symbols)),
+    "breaking_changes": _q(lambda g: breaking_changes(affected_callers(symbol_changes(_old(g), _new(g)), g.calls, g.symbols))),
     "complexity_delta": _q(lambda g: complexity_delta(symbol_changes(_old(g), _new(g)))),
     "commit_type": _q(lambda g: commit_type(_commit_files(g))),
     "affected_modules": _q(lambda g: affected_modules(_commit_files(g))),

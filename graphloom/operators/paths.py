@@ -52,17 +52,36 @@ def trails(edges: DataFrame, start: DataFrame, depth: int, mode: str = "trail",
     return out.filter(keep) if keep is not None else out
 
 
-def call_paths(calls: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = 10, limit: int = 100) -> DataFrame:
-    """Directed call paths between two sets of symbols, shortest first.
+def paths_to(edges: DataFrame, start: DataFrame, targets: DataFrame, depth: int, limit: int, mode: str = "trail") -> DataFrame:
+    """The first `limit` paths of 1 to `depth` edges from start nodes to targets, by length, then names: path, length.
+
+    One length is searched after the other, over nodes from which a target is near enough; as shorter paths come
+    first, no longer ones are searched once there are `limit` of them."""
+    step = cut(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).distinct())
+    back = step.select(F.col("e_dst").alias("src"), F.col("e_src").alias("dst"))
+    rest = reach(back, targets.select("node").distinct(), depth).select(F.col("node").alias("e_dst"), F.col("distance").alias("rest"))
+    start = cut(start.select("node"))
+    least = rest.join(start, F.col("e_dst") == F.col("node")).agg(F.min("rest")).first()[0]
+    first = start.select(F.array("node").alias("nodes"), F.array().cast("array<string>").alias("used"))
+    found, n = [first.select("nodes", F.lit(0).alias("length")).limit(0)], 0
+    for length in range(max(1, least), depth + 1) if least is not None else ():
+        front = first
+        for at in range(1, length + 1):
+            edge = F.concat_ws(">", "e_src", "e_dst")
+            free = ~F.array_contains("nodes", F.col("e_dst")) if mode == "simple" else ~F.array_contains("used", edge)
+            near = rest.filter(F.col("rest") <= length - at)
+            front = front.join(step.join(near, "e_dst", "left_semi"), F.element_at("nodes", -1) == F.col("e_src")).filter(free)
+            front = cut(front.select(F.concat("nodes", F.array("e_dst")).alias("nodes"), F.concat("used", F.array(edge)).alias("used")))
+        found.append(front.select("nodes", F.lit(length).alias("length")))
+        n += front.count()
+        if n >= limit:
+            break
+    return union(found).select(F.array_join("nodes", ">").alias("path"), "length").orderBy("length", "path").limit(limit)
 
-    Only nodes that lie between the two sets within the depth are expanded."""
-    back = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ahead, behind = reach(calls, sources, depth), reach(back, targets, depth)
-    between = cut(ahead.join(behind.withColumnRenamed("distance", "rest"), "node").filter(F.col("distance") + F.col("rest") <= depth).select("node"))
-    inner = calls.join(between.select(F.col("node").alias("src")), "src", "left_semi").join(between.select(F.col("node").alias("dst")), "dst", "left_semi")
-    ends = targets.select(F.col("node").alias("end")).distinct()
-    found = trails(inner, sources, depth).withColumn("end", F.element_at("nodes", -1)).join(ends, "end", "left_semi")
-    return found.select(F.array_join("nodes", ">").alias("path"), "length").orderBy("length", "path").limit(limit)
+
+def call_paths(calls: DataFrame, sources: DataFrame, targets: DataFrame, depth: int = 10, limit: int = 100) -> DataFrame:
+    """Directed call paths between two sets of symbols, shortest first."""
+    return paths_to(calls, sources, targets, depth, limit)
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, depth: int = 10) -> DataFrame:
@@ -94,29 +113,27 @@ def all_paths(edges: DataFrame, source: str, target: str, depth: int = 6, limit:
     """Undirected trails between two nodes, by length, then names."""
     spark = edges.sparkSession
     one = lambda x: spark.createDataFrame([(x,)], "node string")
-    both = undirected(edges)
-    steps = both.select("src", "dst").distinct()
-    near = cut(reach(steps, one(source), depth).join(reach(steps, one(target), depth).withColumnRenamed("distance", "rest"), "node").filter(F.col("distance") + F.col("rest") <= depth).select("node"))
-    inner = steps.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi")
-    found = trails(inner, one(source), depth, "simple", F.element_at("nodes", -1) == target)
-    return found.select(F.array_join("nodes", ">").alias("path"), "length").orderBy("length", "path").limit(limit)
+    return paths_to(undirected(edges), one(source), one(target), depth, limit, "simple")
 
 
 def cycles(edges: DataFrame, longest: int, limit: int, least: int = 2) -> DataFrame:
     """Cycles of `least` to `longest` edges, one row per rotation; self-loops are left out.
 
-    Only nodes that can lie on a cycle stay: those without a way in or out are peeled off first."""
+    Only nodes that can lie on a cycle stay: those without a way in or out are peeled off first.  As shorter cycles
+    come first, no longer ones are searched once there are `limit` of them."""
     edges = cut(edges.filter("src != dst").select("src", "dst").distinct())
     for _ in range(longest):
         edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
     nodes = edges.select(F.col("src").alias("node")).distinct()
     front = nodes.select(F.array("node").alias("nodes"))
-    found = []
+    found, n = [], 0
     step = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
     for length in range(1, longest + 1):
         grown = front.join(step, F.element_at("nodes", -1) == F.col("e_src"))
         if length >= least:
             found.append(grown.filter(F.col("e_dst") == F.col("nodes")[0]).select(F.array_join(F.concat("nodes", F.array("e_dst")), ">").alias("path"), F.lit(length).alias("length")))
+            if length < longest and (n := n + found[-1].count()) >= limit:
+                break
         front = cut(grown.filter(~F.array_contains("nodes", F.col("e_dst"))).select(F.concat("nodes", F.array("e_dst")).alias("nodes")))
     return union(found).orderBy("length", "path").limit(limit)
 
@@ -179,9 +196,8 @@ def hierarchy_level(module: str | None, file: str | None, symbol: str | None) ->
     return 3 if symbol else 2 if file else 1 if module else 0
 
 
-def typed_edges(g: Graph, sparse: bool = True) -> DataFrame:
-    calls = g.sparse_calls if sparse else g.calls
-    return calls.select("src", "dst", F.lit("CALLS").alias("type")).unionByName(g.inherits.select("src", "dst", F.lit("INHERITS").alias("type")))
+def typed_edges(g: Graph) -> DataFrame:
+    return g.calls.select("src", "dst", F.lit("CALLS").alias("type")).unionByName(g.inherits.select("src", "dst", F.lit("INHERITS").alias("type")))
 
 
 def _nodes(g: Graph, *names: str) -> DataFrame:
@@ -192,9 +208,9 @@ def _q(f, *columns):
     return lambda spark, sf_dir: f(Graph(spark, sf_dir)).select(*columns) if columns else f(Graph(spark, sf_dir))
 
 
-# The start is the symbol with the most sparse calls out, so that there is something to find at any scale.
+# The start is the symbol with the most calls out, so that there is something to find at any scale.
 def _busiest(g: Graph) -> str:
-    row = g.sparse_calls.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first()
+    row = g.calls.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first()
     return row["src"] if row else "part:0"
 
 
@@ -204,17 +220,17 @@ def _far(g: Graph) -> str:
 
 
 QUERIES = {
-    "reachability": _q(lambda g: reach(g.sparse_calls, _nodes(g, _busiest(g)), 4)),
-    "find_call_paths": _q(lambda g: call_paths(g.sparse_calls, g.symbols.filter("name = 'red widget'").select(F.col("qualified_name").alias("node")), g.symbols.filter("kind = 'function'").select(F.col("qualified_name").alias("node")), 5)),
+    "reachability": _q(lambda g: reach(g.calls, _nodes(g, _busiest(g)), 4)),
+    "find_call_paths": _q(lambda g: call_paths(g.calls, g.symbols.filter("name = 'red widget'").select(F.col("qualified_name").alias("node")), g.symbols.filter("kind = 'function'").select(F.col("qualified_name").alias("node")), 5)),
     "shortest_path": _q(lambda g: shortest_path(typed_edges(g), _busiest(g), _far(g)).select("length")),
     "all_paths": _q(lambda g: all_paths(typed_edges(g), _busiest(g), _far(g), 5)),
     "neighborhood": _q(lambda g: neighborhood(typed_edges(g), _busiest(g))),
     "neighborhood_by_distance": _q(lambda g: neighborhood(typed_edges(g), _busiest(g), 3, 10_000).groupBy("distance", "relationship").agg(F.count("*").alias("n"))),
-    "impact": _q(lambda g: impact(g.symbols, g.sparse_calls, g.inherits, "part:5")),
-    "bridge_direct": _q(lambda g: connected_directly(typed_edges(g, False), "part:5", "part:6")),
-    "cycles_calls": _q(lambda g: cycles(g.sparse_calls, 5, 50)),
+    "impact": _q(lambda g: impact(g.symbols, g.calls, g.inherits, "part:5")),
+    "bridge_direct": _q(lambda g: connected_directly(typed_edges(g), "part:5", "part:6")),
+    "cycles_calls": _q(lambda g: cycles(g.calls, 5, 50)),
     "cycles_imports": _q(lambda g: cycles(g.imports, 2, 10)),
-    "dead_code": _q(lambda g: dead_code(g.symbols, g.sparse_calls, ["main", "init", "__init__", "constructor"]), "qualified_name", "name", "file"),
+    "dead_code": _q(lambda g: dead_code(g.symbols, g.calls, ["main", "init", "__init__", "constructor"]), "qualified_name", "name", "file"),
     "k_hop_calls": _q(lambda g: reach(g.calls, _nodes(g, "part:5"), 1).filter("distance = 1"), "node"),
     "modules": _q(lambda g: modules(g.files)),
     "requirement_dependencies": _q(lambda g: reach(g.requirements.select(F.col("id").alias("src"), F.concat(F.lit("NATION_"), ((F.col("number") * 3 + 1) % 25).cast("string")).alias("dst")), _nodes(g, "NATION_2"), 3)),

@@ -120,7 +120,7 @@ QUERIES = {
     "upsert_node": _q(lambda g: upsert(g.symbols.select("qualified_name", "name", "file"), _new_symbols(g, "complexity > 40", "renamed"), ["qualified_name"])),
     "upsert_edge": _q(lambda g: upsert_edges(g.sparse_calls, g.calls.select("src", "dst", (F.col("call_count") + 10).alias("call_count")), g.symbols.filter("kind = 'class'").select(F.col("qualified_name").alias("key")), g.symbols.filter("kind = 'class'").select(F.col("qualified_name").alias("key")))),
     "merge_creates_endpoint": _q(lambda g: with_stubs(g.symbols.filter("kind = 'class'").select("qualified_name", "name"), g.implementations, "qualified_name")),
-    "delete_file": _q(lambda g: delete_file(g.symbols, g.sparse_calls, "Brand#3/SMALL")[1]),
+    "delete_file": _q(lambda g: delete_file(g.symbols, g.calls.drop("sparse"), "Brand#3/SMALL")[1]),
     "replace_by_file": _q(lambda g: replace_by_file(g.symbols.select("qualified_name", "name", "file"), _new_symbols(g, "file like 'Brand#3/%' and complexity % 2 = 0", "new"))),
     "set_vector_ids": _q(lambda g: set_vector_ids(g.symbols, g.vectors).select("qualified_name", F.when(F.col("vector_ids").isNull(), 0).otherwise(F.size("vector_ids")).alias("n"), "vector_id")),
     "compute_delta": _q(_delta),

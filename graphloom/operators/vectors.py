@@ -128,7 +128,7 @@ def _manifold(g: Graph) -> DataFrame:
     from graphloom.operators.paths import reach
 
     seeds = scored(g.vectors, query_vector(g)).orderBy(F.desc("score"), "id").limit(5).select(F.col("qualified_name").alias("node"))
-    return manifold(g.vectors, reach(g.sparse_calls, seeds, 2), query_vector(g), 0.5, 10).select("id", "distance", "cost")
+    return manifold(g.vectors, reach(g.calls, seeds, 2), query_vector(g), 0.5, 10).select("id", "distance", "cost")
 
 
 QUERIES = {

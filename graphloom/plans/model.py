@@ -67,18 +67,19 @@ class Graph:
 
     @cached_property
     def sparse_calls(self) -> DataFrame:
+        """About one call in 37: the edges an upsert starts from, and the answers that are held against all calls."""
         return self.calls.filter("sparse").select("src", "dst", "call_count")
 
     @cached_property
     def imports(self) -> DataFrame:
         home = self.symbols.select("qualified_name", "file")
-        joined = self.sparse_calls.join(home.toDF("src", "src_file"), "src").join(home.toDF("dst", "dst_file"), "dst").filter("src_file != dst_file")
+        joined = self.calls.join(home.toDF("src", "src_file"), "src").join(home.toDF("dst", "dst_file"), "dst").filter("src_file != dst_file")
         return joined.groupBy(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")).agg(F.count("*").alias("weight"))
 
     @cached_property
     def inherits(self) -> DataFrame:
         kinds = self.symbols.select("qualified_name", "kind")
-        joined = self.sparse_calls.join(kinds.toDF("src", "src_kind"), "src").join(kinds.toDF("dst", "dst_kind"), "dst")
+        joined = self.calls.join(kinds.toDF("src", "src_kind"), "src").join(kinds.toDF("dst", "dst_kind"), "dst")
         return joined.filter("src_kind = 'class' and dst_kind in ('class', 'interface')").select("src", "dst", F.when(F.col("dst_kind") == "interface", "implements").otherwise("extends").alias("type"))
 
     @cached_property

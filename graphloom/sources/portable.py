@@ -94,7 +94,7 @@ def needs_sync(old: Column, new: Column) -> Column:
 def _round_trip(g: Graph) -> tuple[DataFrame, DataFrame]:
     where = shared_path(g.spark, "portable")
     write_rows(export_nodes(g.files, g.symbols), f"{where}/nodes")
-    write_rows(export_edges(g.sparse_calls, g.imports, g.defines), f"{where}/edges")
+    write_rows(export_edges(g.calls, g.imports, g.defines), f"{where}/edges")
     return load(g.spark, f"{where}/nodes", f"{where}/edges")
 
 
@@ -116,13 +116,13 @@ def _q(f):
 
 QUERIES = {
     "export_all": _q(lambda g: export_nodes(g.files, g.symbols)),
-    "scan_edges": _q(lambda g: export_edges(g.sparse_calls, g.imports, g.defines)),
+    "scan_edges": _q(lambda g: export_edges(g.calls, g.imports, g.defines)),
     "load_all": _q(lambda g: _round_trip(g)[1]),
     "src_jsonl_nodes": _q(lambda g: _round_trip(g)[0].select("id", "type", "name")),
     "src_jsonl_vectors": _q(lambda g: _vectors(g).select("id", F.size("embedding").alias("size"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))),
     "src_vectors_page": _q(lambda g: page(g.vectors.select("id", "level"), "id", 100, 50)),
-    "storage_stats": _q(lambda g: storage_stats(export_nodes(g.files, g.symbols), export_edges(g.sparse_calls, g.imports, g.defines))),
-    "manifest": _q(lambda g: manifest(export_nodes(g.files, g.symbols), export_edges(g.sparse_calls, g.imports, g.defines))),
+    "storage_stats": _q(lambda g: storage_stats(export_nodes(g.files, g.symbols), export_edges(g.calls, g.imports, g.defines))),
+    "manifest": _q(lambda g: manifest(export_nodes(g.files, g.symbols), export_edges(g.calls, g.imports, g.defines))),
     "src_git_hashes": _q(lambda g: listing_hashes(_lines(g))),
     "src_git_commits": _q(lambda g: g.commits.orderBy(F.desc("timestamp"), "sha").limit(10).select("sha", "author")),
     "src_git_commit_files": _q(lambda g: g.modifies.filter("sha = '7'").select("path")),
