@@ -171,7 +171,7 @@ def _raw_calls(g: Graph) -> DataFrame:
 
 
 def _links(g: Graph) -> DataFrame:
-    return g.vectors.filter("vec_id < 200").groupBy("qualified_name").agg(F.collect_list("id").alias("vector_ids"))
+    return g.vectors.groupBy("qualified_name").agg(F.collect_list("id").alias("vector_ids"))
 
 
 def _chunks(g: Graph) -> DataFrame:

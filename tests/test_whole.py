@@ -64,3 +64,9 @@ def test_paths_between_sets_on_random_graphs(spark, seed):
         assert [(x["length"], x["path"]) for x in got.collect()] == want
     every = [x["path"] for x in paths.cycles(edges_of(spark, pairs), 4, 1000).collect()]
     assert [x["path"] for x in paths.cycles(edges_of(spark, pairs), 4, 3).collect()] == every[:3]
+
+
+def test_symbol_vectors_has_late_vectors(spark, tmp_path):
+    write(spark, tmp_path, "part", [(i, f"p{i}", "Brand#1", "SMALL", 3) for i in (1, 199, 200, 450)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    write(spark, tmp_path, "embeddings", [(i, [1.0, 0.0], 1) for i in (1, 199, 200, 450, 451)], "vec_id long, embedding array<float>, label int")
+    assert {r["id"] for r in run(spark, tmp_path, "symbol_vectors")} == {"vec:1", "vec:199", "vec:200", "vec:450"}
