@@ -212,7 +212,7 @@ QUERIES = {
     "detect_language": _q(lambda g: g.symbols.select("qualified_name", language_of(F.concat("file", F.lit("/m."), F.element_at(F.array(*map(F.lit, ["py", "ts", "rs", "zz"])), (_c("complexity") % 4 + 1).cast("int")))).alias("language"))),
     "ext_to_language": _q(lambda g: g.files.select("path", language_or_extension(F.lower(F.split("path", "/")[1])).alias("language"))),
     "fn_hashes": _q(lambda g: g.symbols.select("qualified_name", content_hash(_c("signature")).alias("h16"), content_hash(_c("signature"), 32).alias("h32"), hash_id(_c("qualified_name")).alias("id"))),
-    "fn_fold_space": _q(lambda g: g.documents.select("doc_id", fold_space(F.substring("text", 1, 300)).alias("t"))),
+    "fn_fold_space": _q(lambda g: g.documents.select("doc_id", fold_space(_c("text")).alias("t"))),
     "fn_slug": _q(lambda g: g.symbols.select("qualified_name", slug(F.concat(F.lit(" "), "docstring", F.lit(" -- X_y"))).alias("slug"))),
     "fn_tokens": _q(lambda g: g.symbols.select("qualified_name", F.array_join(tokens(F.concat_ws(" ", "docstring", "qualified_name", F.lit("the 123 Of"))), ",").alias("tokens"))),
     "fn_counts": _q(lambda g: g.documents.select("doc_id", word_count(_c("text")).alias("words"), token_estimate(_c("text")).alias("tokens"), section_count(F.concat(F.lit("## a\n"), "text")).alias("sections"))),
@@ -224,7 +224,7 @@ QUERIES = {
     "commit_grammar": _q(lambda g: g.commits.select("sha", commit_parts(_c("message")).alias("p")).select("sha", "p.type", "p.scope", "p.description")),
     "branch_grammar": _q(lambda g: g.symbols.select("qualified_name", branch_parts(F.concat(F.lit("feat/ABC-"), _c("complexity").cast("string"), F.lit("_"), F.replace("name", F.lit(" "), F.lit("-")))).alias("p")).select("qualified_name", "p.type", "p.ticket", "p.description")),
     "fn_format_bytes": _q(lambda g: g.files.select("path", format_bytes(_c("lines_of_code") * 97).alias("size"))),
-    "fn_escape_xml": _q(lambda g: g.table("pages").select("page_id", escape_xml(F.substring("html", 1, 200)).alias("x"))),
+    "fn_escape_xml": _q(lambda g: g.table("pages").select("page_id", escape_xml(_c("html")).alias("x"))),
     "html_links": _q(lambda g: g.table("pages").select("page_id", F.posexplode(links_of(_c("html"))).alias("n", "href"))),
     "search_entities": _q(lambda g: search_entities(g.symbols, "Widget").select("qualified_name", "name")),
     "keyword_search_graph": _q(lambda g: keyword_search(g.symbols, ["ring", "red", "bolt"], 15).select("qualified_name", "number")),

@@ -70,3 +70,9 @@ def test_symbol_vectors_has_late_vectors(spark, tmp_path):
     write(spark, tmp_path, "part", [(i, f"p{i}", "Brand#1", "SMALL", 3) for i in (1, 199, 200, 450)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
     write(spark, tmp_path, "embeddings", [(i, [1.0, 0.0], 1) for i in (1, 199, 200, 450, 451)], "vec_id long, embedding array<float>, label int")
     assert {r["id"] for r in run(spark, tmp_path, "symbol_vectors")} == {"vec:1", "vec:199", "vec:200", "vec:450"}
+
+
+def test_space_and_xml_of_whole_texts(spark, documents, tmp_path):
+    assert {r["doc_id"]: len(r["t"]) for r in run(spark, documents, "fn_fold_space")} == {1: 31, 299: 221, 300: 521, 5000: 1021}
+    write(spark, tmp_path, "pages", [(1, "<b>" + "x" * 300 + "&")], "page_id long, html string")
+    assert run(spark, tmp_path, "fn_escape_xml")[0]["x"] == "&lt;b&gt;" + "x" * 300 + "&amp;"
