@@ -221,15 +221,15 @@ def _far(g: Graph) -> str:
 
 QUERIES = {
     "reachability": _q(lambda g: reach(g.calls, _nodes(g, _busiest(g)), 4)),
-    "find_call_paths": _q(lambda g: call_paths(g.calls, g.symbols.filter("name = 'red widget'").select(F.col("qualified_name").alias("node")), g.symbols.filter("kind = 'function'").select(F.col("qualified_name").alias("node")), 5)),
+    "find_call_paths": _q(lambda g: call_paths(g.calls, g.symbols.filter("name = 'red widget'").select(F.col("qualified_name").alias("node")), g.symbols.filter("kind = 'function'").select(F.col("qualified_name").alias("node")))),
     "shortest_path": _q(lambda g: shortest_path(typed_edges(g), _busiest(g), _far(g)).select("length")),
-    "all_paths": _q(lambda g: all_paths(typed_edges(g), _busiest(g), _far(g), 5)),
+    "all_paths": _q(lambda g: all_paths(typed_edges(g), _busiest(g), _far(g))),
     "neighborhood": _q(lambda g: neighborhood(typed_edges(g), _busiest(g))),
     "neighborhood_by_distance": _q(lambda g: neighborhood(typed_edges(g), _busiest(g), 3, 10_000).groupBy("distance", "relationship").agg(F.count("*").alias("n"))),
     "impact": _q(lambda g: impact(g.symbols, g.calls, g.inherits, "part:5")),
     "bridge_direct": _q(lambda g: connected_directly(typed_edges(g), "part:5", "part:6")),
     "cycles_calls": _q(lambda g: cycles(g.calls, 5, 50)),
-    "cycles_imports": _q(lambda g: cycles(g.imports, 2, 10)),
+    "cycles_imports": _q(lambda g: cycles(g.imports, 4, 10)),
     "dead_code": _q(lambda g: dead_code(g.symbols, g.calls, ["main", "init", "__init__", "constructor"]), "qualified_name", "name", "file"),
     "k_hop_calls": _q(lambda g: reach(g.calls, _nodes(g, "part:5"), 1).filter("distance = 1"), "node"),
     "modules": _q(lambda g: modules(g.files)),

@@ -76,3 +76,25 @@ def test_space_and_xml_of_whole_texts(spark, documents, tmp_path):
     assert {r["doc_id"]: len(r["t"]) for r in run(spark, documents, "fn_fold_space")} == {1: 31, 299: 221, 300: 521, 5000: 1021}
     write(spark, tmp_path, "pages", [(1, "<b>" + "x" * 300 + "&")], "page_id long, html string")
     assert run(spark, tmp_path, "fn_escape_xml")[0]["x"] == "&lt;b&gt;" + "x" * 300 + "&amp;"
+
+
+@pytest.fixture(scope="module")
+def chain(spark, tmp_path_factory):
+    """A ring of four files, and a chain of eight calls from a red widget to the only function."""
+    folder = tmp_path_factory.mktemp("chain")
+    parts = [(i, "red widget" if i == 1 else f"p{i}", "Brand#1", f"T{i % 4}", 4 if i == 9 else 5) for i in range(1, 10)]
+    write(spark, folder, "part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    lines = [(1, i, i, 1, 1.0, 1.0) for i in range(1, 10)]
+    write(spark, folder, "lineitem", lines, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double")
+    return folder
+
+
+def test_long_paths_and_import_cycles(spark, chain):
+    assert [r["length"] for r in run(spark, chain, "find_call_paths")] == [8]
+    assert {(r["path"].count(">"), r["length"]) for r in run(spark, chain, "cycles_imports")} == {(4, 4)}
+
+
+def test_all_paths_takes_six_steps(spark, monkeypatch, chain):
+    monkeypatch.setattr(paths, "_busiest", lambda g: "part:1")
+    monkeypatch.setattr(paths, "_far", lambda g: "part:7")
+    assert [r["length"] for r in run(spark, chain, "all_paths")] == [6]
