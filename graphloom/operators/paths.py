@@ -143,10 +143,10 @@ def dead_code(symbols: DataFrame, calls: DataFrame, entries: list[str], limit: i
     return symbols.filter((F.col("kind") == "function") & ~F.col("name").isin(entries)).join(called, "qualified_name", "left_anti").orderBy("qualified_name").limit(limit)
 
 
-def neighborhood(edges: DataFrame, center: str, depth: int = 2, limit: int = 50, direction: str = "both") -> DataFrame:
+def neighborhood(edges: DataFrame, center: str, depth: int = 2, limit: int | None = 50, direction: str = "both") -> DataFrame:
     """Neighbours of a node by distance: first relationship type and 1-hop direction (outgoing, incoming, both).
 
-    One row per neighbour, at its smallest distance, with the smallest type among its last edges."""
+    One row per neighbour, at its smallest distance, with the smallest type among its last edges; limit None: all of them."""
     spark = edges.sparkSession
     steps = undirected(edges)
     if direction != "both":
@@ -158,7 +158,8 @@ def neighborhood(edges: DataFrame, center: str, depth: int = 2, limit: int = 50,
     kind = into.groupBy(F.col("dst").alias("node")).agg(F.min("type").alias("relationship"))
     one = steps.filter(F.col("src") == center).groupBy(F.col("dst").alias("node")).agg(F.max("forward").alias("out"), F.max(~F.col("forward")).alias("in"))
     way = F.when(F.col("out") & F.col("in"), "both").when(F.col("out"), "outgoing").when(F.col("in"), "incoming").otherwise("indirect")
-    return near.join(kind, "node").join(one, "node", "left").select("node", "distance", "relationship", way.alias("direction")).orderBy("distance", "node").limit(limit)
+    out = near.join(kind, "node").join(one, "node", "left").select("node", "distance", "relationship", way.alias("direction"))
+    return out if limit is None else out.orderBy("distance", "node").limit(limit)
 
 
 def risk_level(direct: Column, files: Column, total: Column) -> Column:
@@ -225,7 +226,7 @@ QUERIES = {
     "shortest_path": _q(lambda g: shortest_path(typed_edges(g), _busiest(g), _far(g)).select("length")),
     "all_paths": _q(lambda g: all_paths(typed_edges(g), _busiest(g), _far(g))),
     "neighborhood": _q(lambda g: neighborhood(typed_edges(g), _busiest(g))),
-    "neighborhood_by_distance": _q(lambda g: neighborhood(typed_edges(g), _busiest(g), 3, 10_000).groupBy("distance", "relationship").agg(F.count("*").alias("n"))),
+    "neighborhood_by_distance": _q(lambda g: neighborhood(typed_edges(g), _busiest(g), 3, None).groupBy("distance", "relationship").agg(F.count("*").alias("n"))),
     "impact": _q(lambda g: impact(g.symbols, g.calls, g.inherits, "part:5")),
     "bridge_direct": _q(lambda g: connected_directly(typed_edges(g), "part:5", "part:6")),
     "cycles_calls": _q(lambda g: cycles(g.calls, 5, 50)),

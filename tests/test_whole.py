@@ -98,3 +98,11 @@ def test_all_paths_takes_six_steps(spark, monkeypatch, chain):
     monkeypatch.setattr(paths, "_busiest", lambda g: "part:1")
     monkeypatch.setattr(paths, "_far", lambda g: "part:7")
     assert [r["length"] for r in run(spark, chain, "all_paths")] == [6]
+
+
+def test_neighborhood_by_distance_counts_a_large_hub(spark, tmp_path):
+    n = 10_050
+    spark.range(n + 1).selectExpr("id as p_partkey", "'p' as p_name", "'Brand#1' as p_brand", "'SMALL' as p_type", "5 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = spark.range(1, n + 1).selectExpr("id as l_orderkey", "explode(array(struct(0L as k, 1 as n), struct(id as k, 2 as n))) as x")
+    pairs.selectExpr("l_orderkey", "x.k as l_partkey", "x.n as l_linenumber", "1L as l_suppkey", "1.0D as l_quantity", "1.0D as l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in run(spark, tmp_path, "neighborhood_by_distance")] == [(1, "CALLS", n)]
