@@ -44,7 +44,7 @@ def item_words(texts: pa.Array) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for b in tk.blocks(texts):
         starts, ends, words = b.spans(tk.ALNUM[tk.LOWER[b.raw]])
-        h = b.hashes(b.running(tk.LOWER), starts, ends)
+        h = b.hashes(starts, ends, tk.LOWER)
         out += [h[words[i] : words[i + 1]] for i in range(b.n)]
     return out
 
@@ -107,7 +107,7 @@ class Shard:
         self.bench = bench
         starts, ends, self.words = b.spans(tk.ALNUM[tk.LOWER[b.raw]])
         self.n, self.n_texts = len(starts), b.n
-        h = b.hashes(b.running(tk.LOWER), starts, ends)
+        h = b.hashes(starts, ends, tk.LOWER)
         slot = np.minimum(np.searchsorted(bench.vocabulary, h), max(len(bench.vocabulary) - 1, 0))
         codes = np.where(bench.vocabulary[slot] == h, slot + 1, 0) if len(bench.vocabulary) else np.zeros(self.n, np.int64)
         self.doc = tk.per_row(self.words)

@@ -77,7 +77,7 @@ def _gram_rows(k: int):
             for b in tk.blocks(tk.string_column(batch, "text")):
                 starts, ends, words = b.spans(tk.ALNUM[tk.LOWER[b.raw]])
                 doc = tk.per_row(words)
-                h = _grams(b.hashes(b.running(tk.LOWER), starts, ends), k)
+                h = _grams(b.hashes(starts, ends, tk.LOWER), k)
                 at = np.flatnonzero(doc[: len(h)] == doc[k - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
                 rows = doc[at]
                 position = (at - words[:-1][rows]).astype(np.int32)
@@ -93,7 +93,7 @@ def _phrase_words() -> list[np.ndarray]:
 def base_places(b: tk.Block) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
     """Words of each text, and per text the base places as (word index, phrase)."""
     starts, ends, words = b.spans(tk.ALNUM[tk.LOWER[b.raw]])
-    w = b.hashes(b.running(tk.LOWER), starts, ends)
+    w = b.hashes(starts, ends, tk.LOWER)
     doc = tk.per_row(words)
     places: list[list[tuple[int, int]]] = [[] for _ in range(b.n)]
     for number, phrase in enumerate(_phrase_words()):

@@ -40,8 +40,8 @@ def line_keys(b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     first[some], last[some] = solid[lo[some]], solid[hi[some] - 1] + 1
     lead = np.concatenate(([0], np.cumsum(tk.LEAD[b.raw])))
     chars = lead[last] - lead[first]
-    h1 = b.hashes(b.running(tk.LOWER), first, last)
-    h2 = b.hashes(b.running(tk.LOWER, 12345), first, last)
+    h1 = b.hashes(first, last, tk.LOWER)
+    h2 = b.hashes(first, last, tk.LOWER, 1)
     return starts, ends, lines, chars, h1, h2
 
 

@@ -55,7 +55,7 @@ def match_threshold(percent: int, k: int = K) -> int:
 def shingle_sets(b: tk.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text of a block, sorted within the text, and their offsets."""
     starts, ends, words = b.spans(tk.NONSPACE[b.raw])
-    w = b.hashes(b.running(tk.LOWER), starts, ends)
+    w = b.hashes(starts, ends, tk.LOWER)
     n = np.diff(words)
     counts = np.where(n == 0, 0, np.maximum(1, n - k + 1))
     at = np.concatenate(([0], np.cumsum(counts)))

@@ -42,12 +42,11 @@ def measure_block(b: tk.Block) -> np.ndarray:
     n_words = np.diff(words)
     word_chars = tk.sums(inside & tk.LEAD[b.raw], b.at)
     n_symbols = tk.sums(SYMBOLS[b.raw], b.at)
-    running = b.running()
 
     line_start, line_end, lines = b.lines()
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     row = tk.per_row(lines)[has_word]
-    h = b.hashes(running, line_start[has_word], line_end[has_word])
+    h = b.hashes(line_start[has_word], line_end[has_word])
     n_lines = np.bincount(row, minlength=b.n)
     key = tk.mix(h ^ row.astype(tk.U64) * tk.U64(0xA0761D6478BD642F))
     _, first = np.unique(key, return_index=True)
@@ -55,7 +54,7 @@ def measure_block(b: tk.Block) -> np.ndarray:
 
     n_repeat = np.zeros(b.n, np.int64)
     if len(starts) > 3:
-        w = b.hashes(running, starts, ends)
+        w = b.hashes(starts, ends)
         doc = tk.per_row(words)
         at = np.flatnonzero(doc[:-2] == doc[2:])
         if len(at):

@@ -74,22 +74,31 @@ class Pieces:
         block = tk.Block(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64), 0)
         self.tables = {}
         length = np.diff(block.at)
-        h = span_hashes(block.running(), block.at[:-1], block.at[1:])
+        self.words, self.at = block.words(), block.at
         for n in np.unique(length).tolist():
             at = np.flatnonzero(length == n)
+            h = np.zeros(len(texts), U64)
+            for k in range(0, n, 8):
+                h[at] = stir(h[at] ^ (self.words[block.at[at] + k] & tk.FIRST_BYTES[min(8, n - k)]))
             order = at[np.argsort(h[at])]
             bits = max(8, int(len(at)).bit_length() + 4)
             seen = np.zeros(1 << bits, np.bool_)
             seen[(h[at] >> U64(64 - bits)).astype(np.int64)] = True
             self.tables[n] = (h[order], order, seen, bits)
 
-    def find(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes of spans of n bytes are pieces, and which pieces (numbers into ids)."""
+    def find(self, h: np.ndarray, n: int, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the spans of n bytes with these hashes are pieces, and which pieces (numbers into ids).
+
+        Of spans up to eight bytes long the hash tells the bytes; those of longer ones are compared."""
         keys, order, seen, bits = self.tables[n]
         maybe = np.flatnonzero(seen[(h >> U64(64 - bits)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
         ok = keys[slot] == h[maybe]
-        return maybe[ok], order[slot[ok]]
+        maybe, piece = maybe[ok], order[slot[ok]]
+        if n > 8:
+            ok = tk.equal_spans(words, starts[maybe], self.words, self.at[piece], np.full(len(maybe), n))
+            maybe, piece = maybe[ok], piece[ok]
+        return maybe, piece
 
 
 _pieces: dict[tuple[str, float], Pieces] = {}
@@ -103,11 +112,13 @@ def pieces(model_path: str, temperature: float = TEMPERATURE) -> Pieces:
     return _pieces[key]
 
 
-def span_hashes(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans of one length; top bits depend on all bytes."""
-    inverse = tk.powers(len(running), inverse=True)
-    h = (running[ends] - running[starts]) * inverse[starts]
-    return (h ^ (h >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+def stir(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers whose top bits depend on all bits."""
+    x = x ^ (x >> U64(32))
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x *= U64(0xBF58476D1CE4E5B9)
+    return x
 
 
 class Lattice:
@@ -119,14 +130,20 @@ class Lattice:
         unit = np.repeat(np.arange(len(size)), size)
         left = at[1:][unit] - np.arange(len(raw))  # bytes from here to the unit's end
         lead = tk.LEAD[raw]
-        running = block.running()
+        words = block.words()
         begin = np.flatnonzero(lead)
         starts, lengths, which = [], [], []
+        s, state, whole_words = begin, np.zeros(len(begin), U64), 0
         for n in sorted(p.tables):
-            s = begin[left[begin] >= n]
+            room = left[s] >= n
+            s, state = s[room], state[room]
             if not len(s):
                 break
-            found, piece = p.find(span_hashes(running, s, s + n), n)
+            while 8 * whole_words + 8 < n:
+                state = stir(state ^ words[s + 8 * whole_words])
+                whole_words += 1
+            h = stir(state ^ (words[s + 8 * whole_words] & tk.FIRST_BYTES[n - 8 * whole_words]))
+            found, piece = p.find(h, n, words, s)
             starts.append(s[found])
             lengths.append(n)
             which.append(piece)
@@ -139,7 +156,7 @@ class Lattice:
         start = np.concatenate([*starts, lone]).astype(np.int32)
         piece = np.concatenate([*which, np.full(len(lone), len(p.ids))]).astype(np.int32)  # the last number: byte pieces
         length = np.concatenate([*(np.full(len(s), n, np.uint8) for s, n in zip(starts, lengths, strict=True)), width[lone].astype(np.uint8)])
-        del starts, which, running, left
+        del starts, which, words, state, left
         # Edges by the node at which they end; a node is a byte place, and a unit's end is where the next starts.
         # Within a node by length, so that a draw never depends on what else is in the block.
         order = np.argsort((start + length).astype(np.int64) << 8 | length).astype(np.int32)
@@ -213,16 +230,11 @@ def sample_block(b: tk.Block, keys: np.ndarray, p: Pieces, seed: int = 0) -> tup
     """Piece ids of all texts, offsets per text, and the block with its leading blanks."""
     block, starts, per_text = units(b)
     ends = np.concatenate((starts[1:], [len(block.raw)])) if len(starts) else starts
-    h = block.hashes(block.running(), starts, ends)
-    order = np.argsort(h)
-    new = np.ones(len(h), np.bool_)
-    new[1:] = h[order][1:] != h[order][:-1]
-    rank = np.cumsum(new) - 1
-    one = order[new]
+    order, rank, one = block.distinct(starts, ends)
     size = ends[one] - starts[one]
     at = np.concatenate(([0], np.cumsum(size)))
     own = block.raw[np.repeat(starts[one] - at[:-1], size) + np.arange(at[-1])]
-    del h, new, ends
+    del ends
     lattice = Lattice(own, at, p)
     text = tk.per_row(per_text)[order]
     number = order - per_text[:-1][text]

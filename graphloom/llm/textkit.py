@@ -7,6 +7,7 @@ never split: the block that holds it is as large as the document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,10 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one block gathers before it is handed on.
 BLOCK_BYTES = 1 << 20
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
+#: Longer spans are hashed one by one instead of eight bytes of all spans at a time.
+LONG_SPAN = 512
+#: For n = 0 to 8, the bytes of a little-endian word that are its first n.
+FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -37,21 +40,6 @@ NONSPACE = ~byte_class([0x20, *range(0x09, 0x0E)])
 #: The first byte of each code point.
 LEAD = ~byte_class(range(0x80, 0xC0))
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the hash base (or of its inverse) modulo 2^64, kept for later calls."""
-    key = "inverse" if inverse else "base"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        factors = np.full(size, _INVERSE if inverse else _BASE, U64)
-        factors[0] = U64(1)
-        have = _powers[key] = np.multiply.accumulate(factors)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix64, element by element."""
     x = x ^ (x >> U64(30))
@@ -62,6 +50,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_view(raw: np.ndarray) -> np.ndarray:
+    """A copy of bytes, seen as the little-endian eight-byte number at each place."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:-8] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
 class Block:
     """Some consecutive texts of a batch: bytes `raw`, text i at raw[at[i]:at[i + 1]]."""
 
@@ -108,23 +103,63 @@ class Block:
         ends[~last] = breaks
         return starts, ends, offsets
 
-    def running(self, fold: np.ndarray = SAME, base_shift: int = 0) -> np.ndarray:
-        """Prefix sums of byte times power, from which `hashes` reads any span."""
-        out = np.empty(len(self.raw) + 1, U64)
-        out[0] = 0
-        values = fold[self.raw].astype(U64)
-        values += U64(1 + base_shift)
-        if base_shift:
-            values = mix(values)
-        values *= powers(len(values))
-        np.cumsum(values, out=out[1:])
-        return out
-
-    def hashes(self, running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span's bytes and length; equal spans have equal hashes anywhere."""
-        h = (running[ends] - running[starts]) * powers(len(self.raw) + 1, inverse=True)[starts]
-        h += (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)
-        return mix(h)
+    def words(self, fold: np.ndarray = SAME) -> np.ndarray:
+        """At each byte place (and the end) the eight bytes from there, folded, as one number; 0 beyond the block."""
+        return word_view(self.raw if fold is SAME else fold[self.raw])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each span's folded bytes; equal spans have equal hashes anywhere.
+
+        Eight bytes at a time go through a finaliser that mixes all bits, starting from the length and the
+        seed, so no family of strings is known to collide; spans of up to eight bytes and one length never do.
+        Hashes of two seeds are independent: together they have 128 bits."""
+        words = self.words(fold)
+        length = ends - starts
+        h = mix(length.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15 * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF))
+        live, at, left = np.flatnonzero(length <= LONG_SPAN) if len(length) and length.max() > LONG_SPAN else np.arange(len(length)), starts, length
+        at, left = starts[live], length[live]
+        while len(live):
+            h[live] = mix(h[live] ^ (words[at] & FIRST_BYTES[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        long = np.flatnonzero(length > LONG_SPAN)
+        if len(long):
+            flat = memoryview(words.base)
+            key = seed.to_bytes(8, "little", signed=True)
+            for i, s, e in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+                h[i] = int.from_bytes(hashlib.blake2b(flat[s:e], digest_size=8, key=key).digest(), "little")
+        return h
+
+    def distinct(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans by their bytes: an order in which equal ones are side by side, the number of each one's kind in
+        that order, and one span of each kind.  Hashes sort them, bytes decide."""
+        h = self.hashes(starts, ends)
+        order = np.argsort(h)
+        new = np.ones(len(h), np.bool_)
+        new[1:] = h[order][1:] != h[order][:-1]
+        rank, one = np.cumsum(new) - 1, order[new]
+        words, length, other = self.words(), ends - starts, one[rank]
+        if (length[order] != length[other]).any() or not equal_spans(words, starts[order], words, starts[other], length[order]).all():
+            flat, kinds = self.raw.tobytes(), {}
+            which = np.array([kinds.setdefault(flat[s:e], len(kinds)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+            order = np.argsort(which, kind="stable")
+            rank = which[order]
+            one = order[np.concatenate(([True], rank[1:] != rank[:-1]))]
+        return order, rank, one
+
+
+def equal_spans(words: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from each place a of `words` and b of `others` on are equal for so many bytes."""
+    out = np.ones(len(a), np.bool_)
+    live = np.flatnonzero(((a != b) | (words is not others)) & (length > 0))
+    step = 0
+    while len(live):
+        part = FIRST_BYTES[np.minimum(length[live] - step, 8)]
+        same = ((words[a[live] + step] ^ others[b[live] + step]) & part) == 0
+        out[live[~same]] = False
+        step += 8
+        live = live[same & (length[live] > step)]
+    return out
 
 
 def per_row(offsets: np.ndarray) -> np.ndarray:

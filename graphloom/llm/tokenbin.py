@@ -44,8 +44,8 @@ ROUNDS = 6
 LEAST_USES = 4
 #: A round that saves less than this part of the symbols is the last.
 LEAST_GAIN = 0.02
-#: Distinct pieces that a process keeps: about 20 bytes each.
-MAX_KEPT = 4_000_000
+#: Distinct pieces that a process keeps: about 50 bytes each.
+MAX_KEPT = 2_000_000
 BLANK = tk.byte_class([0x20, 0x0A])
 #: Last and last but one byte of characters that count as white space beyond ASCII; and ASCII white space.
 _WIDE_LAST = tk.byte_class([0x85, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F, 0xA0])
@@ -63,9 +63,16 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.byte_char = _byte_chars()
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty store: hashes of pieces in order, where their ids begin, ids; and where their bytes begin, bytes."""
         self.hashes = np.zeros(0, np.uint64)
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint16)
+        self.raw_at = np.zeros(0, np.int64)
+        self.raw_size = np.zeros(0, np.int64)
+        self.words = tk.word_view(np.zeros(0, np.uint8))
 
     def pieces(self, b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of a block's pieces, and their offsets per text."""
@@ -86,21 +93,32 @@ class Encoder:
     def encode(self, b: tk.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and offsets per text."""
         starts, ends, per_text = self.pieces(b)
-        h = b.hashes(b.running(), starts, ends)
-        distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
-        slot = self._known(distinct)
+        order, rank, one = b.distinct(starts, ends)
+        starts, ends = starts[one], ends[one]
+        h = b.hashes(starts, ends)
+        slot = self._known(h)
         new = np.flatnonzero(slot < 0)
         if len(new):
             if len(self.hashes) + len(new) > MAX_KEPT:  # a full store is begun anew
-                self.hashes, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
-                new = np.arange(len(distinct))
+                self._forget()
+                new = np.arange(len(h))
+            new = new[np.unique(h[new], return_index=True)[1]]
             flat = b.raw.tobytes()
-            self._learn(distinct[new], [flat[s:e] for s, e in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
-            slot = self._known(distinct)
-        at = slot[which.reshape(-1)]
-        n = self.at[at + 1] - self.at[at]
+            self._learn(h[new], [flat[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            slot = self._known(h)
+        n, at, store = (self.at[1:] - self.at[:-1])[slot], self.at[slot], self.ids
+        # A piece whose hash another piece has in the store is encoded by itself.
+        own = self.raw_size[slot] == ends - starts
+        own[own] = tk.equal_spans(b.words(), starts[own], self.words, self.raw_at[slot[own]], (ends - starts)[own])
+        for i in np.flatnonzero(~own).tolist():
+            ids = self._ids(b.raw[starts[i] : ends[i]].tobytes())
+            n[i], at[i] = len(ids), len(store)
+            store = np.append(store, np.array(ids, np.uint16))
+        which = np.empty(len(order), np.int64)
+        which[order] = rank
+        n, at = n[which], at[which]
         to = np.concatenate(([0], np.cumsum(n)))
-        ids = self.ids[np.repeat(self.at[at] - to[:-1], n) + np.arange(to[-1])]
+        ids = store[np.repeat(at - to[:-1], n) + np.arange(to[-1])]
         return ids, to[per_text]
 
     def _known(self, h: np.ndarray) -> np.ndarray:
@@ -123,6 +141,11 @@ class Encoder:
         at = np.concatenate(([0], np.cumsum(size)))
         self.ids = ids[np.repeat(start[order] - at[:-1], size) + np.arange(at[-1])]
         self.hashes, self.at = hashes[order], at
+        size = np.array([len(t) for t in texts], np.int64)
+        held = self.words.base[:-8]
+        self.raw_at = np.concatenate((self.raw_at, len(held) + np.cumsum(size) - size))[order]
+        self.raw_size = np.concatenate((self.raw_size, size))[order]
+        self.words = tk.word_view(np.concatenate((held, np.frombuffer(b"".join(texts), np.uint8))))
 
     def _ids(self, piece: bytes) -> list[int]:
         """A piece of one blank at most and letters only is one pre-token: the model encodes it at once."""

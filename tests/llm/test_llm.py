@@ -76,7 +76,7 @@ def test_textkit_blocks_and_spans():
             found += [[b.raw[s[k] : e[k]].tobytes().decode() for k in range(o[i], o[i + 1])] for i in range(b.n)]
         assert found == [["ab", "c"], [], [], ["日", "x"], []]
     b = next(tk.blocks(pa.array(["abcXabc", "abc"])))
-    h = b.hashes(b.running(), np.array([0, 4, 7, 0]), np.array([3, 7, 10, 4]))
+    h = b.hashes(np.array([0, 4, 7, 0]), np.array([3, 7, 10, 4]))
     assert h[0] == h[1] == h[2] != h[3]
 
 
@@ -478,3 +478,49 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = {r["doc_id"]: segment.decode_text(r["ids"], p) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and len(got) > 10
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "sampled_pieces"]
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """The Thue-Morse string of n letters and its complement: equal under polynomial hashes modulo 2^64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_strings_that_polynomial_hashes_confuse(spark, n):
+    a, b = thue_morse(n)
+    block = next(tk.blocks(pa.array([a + b])))
+    h = block.hashes(np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    words = [f"w{i}" for i in range(60)]
+    texts = [a, b, *(f"{a}\nrow {i}" for i in range(5)), *(f"{b}\nrow {i}" for i in range(5)), f"{a} x {a} x {b} x {b}", f"{a}\n{b}\n{a}", " ".join([*words, a]), " ".join([*words, b])]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in tokenbin.report(docs, BPE).collect()} == want
+    assert all(r["lossless"] for r in segment.report(docs, PIECES).collect())
+    lines = {(d, k, g, hashlib.sha256(x.encode()).hexdigest()) for d, k, g, x in brute_lines(rows)}
+    assert {tuple(r) for r in linestore.report(docs).collect()} == lines
+    assert rows_of(neardup.report(docs, 4, 80)) == sorted(brute_components(rows, 4), key=repr)
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    hit = {r["doc_id"]: r["n_hit"] for r in decontaminate.report(docs, bench).collect()}
+    assert hit == {i: ALNUM.findall(x).count(a) for i, x in enumerate(texts)}
+    measures = quality.measure_batch(pa.array(texts))
+    assert measures[12, 4] == 0 and measures[13, 3] == 1
+
+
+def test_equal_hashes_do_not_decide(monkeypatch):
+    """With all hashes cut to three bits, bytes still tell pieces and units apart."""
+    whole = tk.Block.hashes
+    monkeypatch.setattr(tk.Block, "hashes", lambda self, *a: whole(self, *a) & np.uint64(7))
+    texts = pa.array([t or "" for _, t, *_ in corpus()][:30])
+    enc, p = tokenbin.Encoder(BPE), segment.pieces(PIECES)
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    for b in tk.blocks(texts):
+        ids, at = enc.encode(b)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(b.n)] == want
+        ids, bounds, block = segment.sample_block(b, np.arange(b.n, dtype=np.uint64), p)
+        assert segment._lossless(ids, bounds, block, p).all()
