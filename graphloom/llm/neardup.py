@@ -4,14 +4,18 @@ Texts with equal shingle sets form one class.  Each class has K minima (coordina
 under its coordinate-value pairs.  A pair of classes above the similarity agrees on at least T of the
 K coordinates (missed with a chance of about 1e-8 at the threshold itself), so it shares a posting
 even if each class is posted under only the K - T + 1 rarest of its pairs: common values are skipped.
-Posting lists of up to `HOT` classes yield all their pairs.  In longer lists each class is first
-paired with the list's hub, the class with the fewest shingles of its own (that no other class of a
-long list has): the text of which the others are copies, if it is there.  Pairs that agree on T
-coordinates are confirmed on full shingle sets and joined into components.  Long lists that still hold
-several components are then compared block by block: a pair is a candidate if it lies across
-components, agrees on T coordinates, is in no earlier list together, and could still be similar
-enough without the shingles that one of the two has alone.  So a group of copies costs in proportion to
-its size, and no link that could join two components is left out.
+Any one order of the values would do; they are ordered by a count sketch of fixed size.
+
+Lists that the sketch shows to hold at most `HOT` classes yield all their pairs; those that agree on T
+coordinates are confirmed on full shingle sets.  In the other lists, a class with so many shingles of its
+own (that no other class of such lists has) that it can't be similar to any is left out, and each class
+meets the list's hub, the class with the fewest shingles of its own: the text of which the others are
+copies, if it is there.  Links make components.  Where the classes that met one hub are still in several
+components, a pair that is left shares a shingle that the hub hasn't, or both share with the hub alone
+as many as a link needs: the first are found by posting those shingles, the second by size, and in both
+cases one of the two is outside the largest component.  So copies of a text, or texts that only have a
+passage in common, cost in proportion to their number, and no link that could join two components is
+left out.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and are
 kept; rows with a null doc_id are not linked and get no component; repeated rows are copies of each
@@ -36,12 +40,12 @@ from graphloom.llm.scratch import Scratch
 K = 64
 SHINGLE = 5
 PERCENT = 80
-#: A posting list longer than this is treated as hot.
+#: A posting list that may be longer than this is treated as hot.
 HOT = 32
-#: Hot coordinate-value pairs that may be broadcast (12 bytes each); beyond it, HOT is doubled.
-MAX_HOT_KEYS = 1_000_000
-#: Classes in one block of a long list.
-BLOCK = 1024
+#: Cells of the count sketch, 2 to this power: at most 32 MB are broadcast, however many texts there are.
+SKETCH_BITS = 22
+#: Sizes within this ratio are looked up together.
+BAND = 1.02
 _FACTORS = (tk.mix(np.arange(1, K + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _ADD = (tk.mix(np.arange(1001, K + 1001, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -135,32 +139,37 @@ def _coordinate_keys(sig: np.ndarray) -> np.ndarray:
     return (np.arange(K, dtype=np.uint64) << np.uint64(32)) | sig.astype(np.uint64)
 
 
-def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (tk.mix(keys) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_coordinate_keys(_sig_rows(batch.column(0))).reshape(-1).view(np.int64))], ["key"])
+        if len(batch):
+            cell, n = np.unique(_cells(_coordinate_keys(_sig_rows(batch.column(0)))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n)], ["cell", "n"])
 
 
-def _post(hot_cast, prefix: int):
-    """Each class under its `prefix` rarest coordinate-value pairs."""
+def _post(sketch_cast, prefix: int):
+    """Each class under its `prefix` rarest coordinate-value pairs, and whether their lists may be hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_counts = hot_cast.value
+        cells, counts = sketch_cast.value
         for batch in batches:
             if not len(batch):
                 continue
-            ids = batch.column(0).to_numpy()
             keys = _coordinate_keys(_sig_rows(batch.column(1)))
-            if len(hot_keys):
-                slot = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
-                count = np.where(hot_keys[slot] == keys, hot_counts[slot], 0)
+            if len(cells):
+                own = _cells(keys)
+                slot = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+                count = np.where(cells[slot] == own, counts[slot], 0)
             else:
                 count = np.zeros(keys.shape, np.int64)
-            # The order is one for all classes: frequency (0 unless hot), then coordinate and value.
+            # The order is one for all classes: count (0 unless hot), then coordinate and value.
             pick = np.argsort(count, axis=1, kind="stable")[:, :prefix]
             key = np.take_along_axis(keys, pick, 1).reshape(-1).view(np.int64)
-            n = np.take_along_axis(count, pick, 1)
-            bits = np.where(n > 0, np.uint64(1) << pick.astype(np.uint64), np.uint64(0)).sum(1, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, prefix)), pa.array(n.reshape(-1).astype(np.int64)), pa.array(np.repeat(bits, prefix).view(np.int64))], ["key", "id", "n_hot", "in_hot"])
+            hot = np.take_along_axis(count, pick, 1).reshape(-1) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), prefix)), pa.array(hot)], ["key", "id", "hot"])
 
     return run
 
@@ -177,35 +186,6 @@ def _agree(least: int):
     return run
 
 
-def _cross(least: int, percent: int):
-    """Of one block or pair of blocks of a long list: the pairs across components that may be links."""
-    bit = np.uint64(1) << np.arange(K, dtype=np.uint64)
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, comps, block, n, alone = (table.column(c).to_numpy() for c in ("id", "component", "block", "n_shingles", "n_alone"))
-        hot = table.column("in_hot").to_numpy().view(np.uint64)
-        sig = _sig_rows(table.column("sig").combine_chunks())
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        earlier = bit[: table.column("key")[0].as_py() >> 32]
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
-        shared = n - alone
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in left:
-            most = np.minimum(shared[i], shared[right])
-            j = right[(comps[right] != comps[i]) & (100 * most >= percent * (n[i] + n[right] - most))]
-            if low == high:
-                j = j[j > i]
-            same = sig[j] == sig[i]
-            first = ~(same[:, : len(earlier)] & ((earlier & (hot[i] & hot[j])[:, None]) != 0)).any(1)
-            j = j[first & (same.sum(1) >= least)]
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return run
-
-
 class NearDuplicates:
     """The steps of one run; `assigned` is doc_id, n_shingles and component_id per row."""
 
@@ -226,21 +206,30 @@ class NearDuplicates:
         classes = linkable.select(F.col("doc_id").alias("id"), "sig").join(ids, "id", "left_semi").dropDuplicates(["id", "sig"])
         classes = s.put(classes, "classes")
         lists = self._postings(classes)
-        hot_ids = s.put(lists.filter("n_hot > 0").select("id").distinct(), "hot_ids")
+        pairs = self._short_pairs(lists)
+        long = lists.filter("hot").select("key", "id")
+        hot_ids = s.put(long.select("id").distinct(), "hot_ids")
         hot_sets = self._sets(hot_ids)
-        alone = self._alone(hot_sets, hot_ids)
-        pairs = self._short_pairs(lists).unionByName(self._star_pairs(lists, alone))
+        room = self._room(hot_sets, hot_ids)
+        long = s.put(long.join(room.filter(100 * F.col("most") >= self.percent * F.col("least")), "id"), "long")
         pairs = s.put(self._agreeing(pairs, classes), "pairs")
         nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = self._sets(nodes.join(hot_ids, "id", "left_anti"))
-        links = self._confirmed(pairs, sets.unionByName(hot_sets))
+        both = self._hubs_of_lists(long)
+        met, hubs = self._met(both, hot_sets)
+        moved = self._moved(both, met, room)
+        s.drop(hubs)
+        again, hubs = self._met(moved, hot_sets)
+        star = met.unionByName(again).filter((F.col("id") != F.col("hub")) & (100 * F.col("shared") >= self.percent * (F.col("n") + F.col("n_hub") - F.col("shared"))))
+        star = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        links = s.put(self._confirmed(pairs, sets.unionByName(hot_sets)).unionByName(star).distinct(), "links")
         labels = connected_components(links, s)
-        rest = s.put(self._cross_pairs(lists, classes, labels, alone), "cross")
+        rest = s.put(self._agreeing(self._cross_pairs(again, hubs, hot_sets, labels), classes), "cross")
         if not rest.isEmpty():
             more = s.put(links.unionByName(self._confirmed(rest, hot_sets)), "links")
             s.drop(links)
             links, labels = more, connected_components(more, s)
-        s.drop(lists, rest, alone, sets, hot_sets)
+        s.drop(lists, long, pairs, rest, room, sets, hot_sets, hot_ids, classes, both, met, moved, again, hubs)
         self.links = links
         component = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
         rows = signed.select("doc_id", "n_shingles", "s1", "s2")
@@ -249,20 +238,15 @@ class NearDuplicates:
         return out.unionByName(alone)
 
     def _postings(self, classes: DataFrame) -> DataFrame:
-        """(key, id, n_hot): n_hot is the list's length over all coordinates if it is hot, else 0."""
-        counts = classes.select("sig").mapInArrow(_all_keys, "key long").groupBy("key").agg(F.count("*").alias("n"))
-        hot = self.scratch.put(counts.filter(F.col("n") > self.hot), "hot")
-        while hot.count() > MAX_HOT_KEYS:
-            self.hot *= 2
-            hot = hot.filter(F.col("n") > self.hot)
-        table = hot.toPandas()
-        order = np.argsort(table["key"].to_numpy().view(np.uint64))
-        cast = self.spark.sparkContext.broadcast((table["key"].to_numpy().view(np.uint64)[order], table["n"].to_numpy()[order]))
-        return self.scratch.put(classes.select("id", "sig").mapInArrow(_post(cast, K - self.least + 1), "key long, id long, n_hot long, in_hot long"), "lists")
+        """(key, id, hot): a list that is not hot has at most `hot` classes."""
+        cells = classes.select("sig").mapInArrow(_count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        table = cells.filter(F.col("n") > self.hot).toPandas().sort_values("cell")
+        cast = self.spark.sparkContext.broadcast((table["cell"].to_numpy(np.int32), np.minimum(table["n"].to_numpy(), (1 << 31) - 1).astype(np.int32)))
+        return self.scratch.put(classes.select("id", "sig").mapInArrow(_post(cast, K - self.least + 1), "key long, id long, hot boolean"), "lists")
 
     @staticmethod
     def _short_pairs(lists: DataFrame) -> DataFrame:
-        short = lists.filter("n_hot = 0").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1)
+        short = lists.filter("not hot").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1)
         pairs = short.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('a', x, 'b', y))))")).alias("p"))
         return pairs.select("p.a", "p.b")
 
@@ -271,24 +255,45 @@ class NearDuplicates:
         texts = self.documents.withColumnRenamed("doc_id", "id").join(ids.hint("merge"), "id", "left_semi")
         return self.scratch.put(texts.mapInArrow(_sets(self.shingle), "id long, grams array<long>"), "sets")
 
-    def _alone(self, sets: DataFrame, ids: DataFrame) -> DataFrame:
-        """(id, n_shingles, n_alone) of the classes in long lists: how many shingles no other of them has."""
+    def _room(self, sets: DataFrame, ids: DataFrame) -> DataFrame:
+        """(id, least, most) of the classes in hot lists: how many shingles one has, and how many of them another of
+        them has as well.  An id with several texts has the least of its sizes and the most, as nothing is known to
+        be its own."""
         grams = sets.select("id", F.explode("grams").alias("gram"))
         rare = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        counted = rare.filter("n = 1").groupBy("id").agg(F.count("*").alias("n_alone"))
-        sizes = self.signed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles").join(ids, "id", "left_semi").groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
-        # Of an id with several rows nothing is known to be alone.
-        n_alone = F.when(F.col("rows") == 1, F.coalesce("n_alone", F.lit(0))).otherwise(0)
-        return self.scratch.put(sizes.join(counted, "id", "left").select("id", "n_shingles", n_alone.cast("long").alias("n_alone")), "alone")
-
-    @staticmethod
-    def _star_pairs(lists: DataFrame, alone: DataFrame) -> DataFrame:
-        # A class meets the same hub in most of its long lists: every fourth coordinate is enough, as what
-        # is left apart is compared in full afterwards.
-        long = lists.filter("n_hot > 0 and shiftright(key, 32) % 4 = 0").select("key", "id")
-        hubs = long.join(alone, "id").groupBy("key").agg(F.min(F.struct("n_alone", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"))
-        both = long.join(hubs, "key").filter("id != hub")
-        return both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        counted = rare.filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        sizes = self.signed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles").join(ids, "id", "left_semi")
+        sizes = sizes.groupBy("id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("rows"))
+        most = F.col("most") - F.when(F.col("rows") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)
+        return self.scratch.put(sizes.join(counted, "id", "left").select("id", "least", most.cast("long").alias("most")), "room")
+
+    def _met(self, both: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(hub, id, n, n_hub, shared) of pairs (hub, id), and the hubs' sets.  Of an id with several texts, its
+        smallest is the hub, each is a row."""
+        hubs = sets.join(both.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.size("grams"), "grams")).alias("x"))
+        hubs = self.scratch.put(hubs.select(F.col("id").alias("hub"), F.col("x.grams").alias("core")), "hubs")
+        joined = both.join(sets, "id").join(hubs, "hub")
+        met = joined.select("hub", "id", F.size("grams").alias("n"), F.size("core").alias("n_hub"), F.size(F.array_intersect("grams", "core")).alias("shared"))
+        return self.scratch.put(met, "met"), hubs
+
+    def _hubs_of_lists(self, long: DataFrame) -> DataFrame:
+        """(hub, id): the classes with the hubs of their hot lists, a hub with itself included."""
+        hub = long.groupBy("key").agg(F.min(F.struct(F.col("least") - F.col("most"), "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"))
+        return self.scratch.put(long.join(hub, "key").select("hub", "id").distinct(), "both")
+
+    def _moved(self, both: DataFrame, met: DataFrame, room: DataFrame) -> DataFrame:
+        """(hub, id) with each hub replaced by the best hub that it has met itself and shares half its shingles with:
+        copies of one text whose lists are not all the same then share a hub."""
+        own = room.select("id", (F.col("least") - F.col("most")).alias("own"))
+        better = met.filter("2 * shared >= n and hub != id").join(both.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").select("hub", "id")
+        better = better.join(own.withColumnRenamed("own", "id_own"), "id").join(own.select(F.col("id").alias("hub"), F.col("own").alias("hub_own")), "hub")
+        better = better.filter(F.struct("hub_own", "hub") < F.struct("id_own", "id")).groupBy("id").agg(F.min(F.struct("hub_own", "hub")).alias("to")).select(F.col("id").alias("from"), F.col("to.hub").alias("to"))
+        better = self.scratch.put(better, "better")
+        for _ in range(2):  # twice as far each time; nothing but the size of the groups depends on it
+            onward = better.select(F.col("from").alias("to"), F.col("to").alias("onward"))
+            better = self.scratch.put(better.join(onward, "to", "left").select("from", F.coalesce("onward", "to").alias("to")), "better")
+        moved = both.join(better.withColumnRenamed("from", "hub"), "hub", "left").select(F.coalesce("to", "hub").alias("hub"), "id")
+        return self.scratch.put(moved.unionByName(moved.select("hub", F.col("hub").alias("id"))).distinct(), "moved")
 
     def _agreeing(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
@@ -296,15 +301,35 @@ class NearDuplicates:
         right = classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(self.least), "a long, b long").distinct()
 
-    def _cross_pairs(self, lists: DataFrame, classes: DataFrame, labels: DataFrame, alone: DataFrame) -> DataFrame:
-        long = lists.filter("n_hot > 0").select("key", "id", "in_hot").distinct()
-        long = long.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = long.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        rows = long.join(mixed, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", "id", "in_hot", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        rows = rows.join(classes, "id").join(alone, "id").select("key", "low", "high", "block", "id", "in_hot", "component", "n_shingles", "n_alone", "sig")
-        return rows.groupBy("key", "low", "high").applyInArrow(_cross(self.least, self.percent), "a long, b long").filter("a < b").distinct()
+    def _cross_pairs(self, met: DataFrame, hubs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs across components that met one hub and may be links, one of them outside its largest component."""
+        rows = met.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = rows.groupBy("hub", "component").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+        mixed = parts.filter("parts > 1").select("hub", F.col("top.component").alias("largest"))
+        rows = rows.join(mixed, "hub").select("hub", "id", "n", "shared", "component", (F.col("component") != F.col("largest")).alias("apart"))
+        rows = self.scratch.put(rows, "mixed")
+        other = lambda df, *columns: df.filter("apart").select(*[F.col(c).alias(f"x_{c}") for c in columns])
+        pair = [F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")]
+        across = F.col("component") != F.col("x_component")
+        # Shingles beyond the hub's that classes of several components have.
+        own = rows.select("hub", "id", "component", "apart").distinct().join(sets, "id").join(hubs, "hub")
+        own = own.select("hub", "id", "component", "apart", F.explode(F.array_except("grams", "core")).alias("gram"))
+        own = self.scratch.put(own, "own")
+        several = own.groupBy("hub", "gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("hub", "gram")
+        own = own.join(several, ["hub", "gram"], "left_semi")
+        by_gram = own.join(other(own, "hub", "gram", "id", "component"), (F.col("hub") == F.col("x_hub")) & (F.col("gram") == F.col("x_gram")) & across)
+        # Or no such shingle: what both share with the hub must do, so neither can be too large for the other.
+        p = self.percent
+        cap = F.floor((100 + p) * F.col("shared") / p) - F.col("n")
+        band = lambda x: F.floor(F.log(x.cast("double")) / math.log(BAND))
+        able = rows.filter((cap >= 1) & (100 * F.col("shared") >= p * F.col("n"))).withColumn("cap", cap).withColumn("band", band(F.col("n")))
+        near = other(able, "hub", "id", "n", "shared", "component", "cap")
+        # One band more on either side, as logarithms are rounded.
+        low, high = band(F.col("x_n") * p / 100) - 1, band(F.col("x_cap")) + 1
+        near = near.withColumn("x_band", F.explode(F.when(low <= high, F.sequence(low, high)))).drop("x_cap")
+        fits = (100 + p) * F.least("shared", "x_shared") >= p * (F.col("n") + F.col("x_n"))
+        by_size = able.join(near, (F.col("hub") == F.col("x_hub")) & (F.col("band") == F.col("x_band")) & across & fits)
+        return by_gram.select(*pair).unionByName(by_size.select(*pair)).distinct()
 
     def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs whose full shingle sets are similar enough."""

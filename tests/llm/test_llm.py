@@ -183,6 +183,74 @@ def test_near_duplicates_with_long_posting_lists(spark):
     assert got == {(d, c) for d, _, c, _ in brute_components(rows, 4)}
 
 
+def family(r: random.Random, size: int, n: int, edits, vocabulary: int = 10**6) -> list[str]:
+    """Copies of one text of `size` words, each with some words changed."""
+    base, out = [f"t{r.randrange(10**6)}" for _ in range(size)], []
+    for _ in range(n):
+        w = list(base)
+        for at in r.sample(range(size), r.choice(edits)):
+            w[at] = f"m{r.randrange(vocabulary)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_of_more_than_a_thousand_classes_in_a_list(spark):
+    """Copies near and below the threshold, with changes in common and without, cut short and lengthened; a passage in
+    texts that differ otherwise; a variant of the text with copies of its own; an id with several texts."""
+    r = random.Random(8)
+    texts = family(r, 60, 1100, [1, 2, 3, 4, 5], 40)
+    texts += [" ".join(t.split()[: r.randint(48, 60)]) for t in r.sample(texts, 60)] + [t + " and more of it" for t in r.sample(texts, 20)]
+    variant = texts[0].split()[:36] + [f"v{i}" for i in range(24)]
+    texts += [" ".join(f"u{r.randrange(10**6)}" if r.random() < 0.03 else w for w in variant) for _ in range(150)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [f"{passage} {' '.join(f'own{i}x{j}' for j in range(r.choice([4, 6, 9])))}" for i in range(120)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    want = brute_components(rows, 4)
+    assert len({c for *_, c, _ in want}) > 50
+    assert rows_of(neardup.report(frame(spark, rows).repartition(4), 4, 80)) == sorted(want, key=repr)
+    again = [(i % 900, t, *_) for i, t, *_ in rows]
+    comps = {d: c for d, _, c, _ in brute_components(again, 4)}
+    assert {(x["doc_id"], x["component_id"]) for x in neardup.report(frame(spark, again), 4, 80).collect()} == set(comps.items())
+
+
+def test_near_duplicate_work_grows_with_the_group(spark, monkeypatch):
+    """Rows of the tables between the steps, on one group of near copies and one twice as large."""
+    made: list[int] = []
+    put = neardup.Scratch.put
+
+    def counted(self, df, *a):
+        out = put(self, df, *a)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "put", counted)
+    sums = []
+    for n in (400, 800):
+        made.clear()
+        rows = [(i, t, "en", "s", 0) for i, t in enumerate(family(random.Random(3), 100, n, [1, 2, 4, 6, 8]))]
+        neardup.NearDuplicates(frame(spark, rows), 4, 80).run()
+        sums.append(sum(made))
+    assert sums[1] < 2.6 * sums[0]
+
+
+def test_signatures_of_links_at_the_threshold_agree():
+    """Of pairs at exactly 0.8, none agrees on fewer coordinates than a link must."""
+    r = np.random.default_rng(6)
+    least = 64
+    for n in (9, 45, 180, 450):  # of n shingles in all, 0.8 are shared
+        shared, alone = round(0.8 * n), n - round(0.8 * n)
+        sets, at = [], [0]
+        for _ in range(1000):
+            both = r.integers(0, 1 << 63, shared, np.uint64) * np.uint64(2)
+            more = r.integers(0, 1 << 63, alone, np.uint64) * np.uint64(2)
+            for part in (np.concatenate((both, more[: alone // 2])), np.concatenate((both, more[alone // 2 :]))):
+                sets.append(part)
+                at.append(at[-1] + len(part))
+        sig = neardup.signatures(np.concatenate(sets), np.array(at))
+        least = min(least, int((sig[0::2] == sig[1::2]).sum(1).min()))
+    assert least >= neardup.match_threshold(80)
+
+
 def test_near_duplicate_filter_keeps_one_of_each(spark, docs):
     want = Counter(d for d, _, _, kept in set(brute_components(corpus(), 5)) if kept and d is not None)
     got = Counter(r["doc_id"] for r in neardup.filter_documents(docs).collect() if r["doc_id"] is not None)
