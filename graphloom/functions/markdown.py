@@ -73,14 +73,34 @@ def sections(docs: DataFrame, depth: int = 2) -> DataFrame:
     return rows.withColumn("id", F.concat(F.lit("doc:"), "path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
 
 
+# Document types by the file's name, by its folder, and by what its text holds, the first that fits.
+NAME_TYPES = [
+    ("readme", r"^readme\.(md|markdown)$"), ("changelog", r"^(changelog|changes|history)\.md$"), ("adr", "^adr[-_]"), ("roadmap", "roadmap"), ("session_notes", "session|notes|summary"), ("phase_doc", "phase"),
+    ("api_doc", "^(?=.*api).*(doc|ref)"), ("release_note", "^(?=.*release).*note"), ("guide", "guide|quickstart|getting-started"), ("tutorial", "tutorial"), ("reference", "reference"), ("guide", "setup|install"),
+]
+FOLDER_TYPES = [("adr", "/adr|/decisions"), ("guide", "/guides|/howto"), ("tutorial", "/tutorials"), ("api_doc", "/api|/reference"), ("design_spec", "/design|/architecture")]
+TEXT_TYPES = [
+    ("design_spec", ["# architecture", "## design", "## system design"]), ("api_doc", ["# api reference", "## endpoints", "## api methods"]), ("guide", ["## installation", "## getting started", "## prerequisites"]),
+    ("adr", ["## status: accepted", "## status: deprecated"]), ("release_note", ["## what's new", "## release notes", "## breaking changes"]), ("technical_spec", ["## technical specification", "## implementation details"]),
+]
+#: Both of these make a text an adr as well.
+ADR_PARTS = ["## decision", "## context"]
+
+
 def document_type(path: Column, text: Column) -> Column:
-    """File name, then directory, then content decide."""
-    name, folder = F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), F.lower(path)
-    kind = F.when(name == "readme.md", "readme").when(name.startswith("changelog"), "changelog").when(name.startswith("roadmap"), "roadmap").when(name.rlike("^(adr|rfc)"), F.regexp_extract(name, "^(adr|rfc)", 1))
-    for word, label in (("adr", "adr"), ("rfc", "rfc"), ("api", "api_doc"), ("guide", "guide"), ("tutorial", "tutorial"), ("requirement", "requirement"), ("design", "design_spec"), ("notes", "notes")):
-        kind = kind.when(folder.rlike(rf"(^|/){word}s?/"), label)
-    low = F.lower(text)
-    return kind.when(low.contains("## acceptance criteria"), "requirement").when(low.contains("## decision"), "adr").when(low.contains("## endpoint"), "api_doc").otherwise("unknown")
+    """The name decides, then the folder, then the text; all in lower case."""
+    from graphloom.functions.text import dirname
+
+    name, folder, low = F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), F.lower(dirname(path)), F.lower(text)
+    tests = [(name.rlike(p), label) for label, p in NAME_TYPES] + [(folder.rlike(p), label) for label, p in FOLDER_TYPES]
+    for label, phrases in TEXT_TYPES:
+        found = low.contains(phrases[0])
+        for x in phrases[1:]:
+            found = found | low.contains(x)
+        if label == "adr":
+            found = found | (low.contains(ADR_PARTS[0]) & low.contains(ADR_PARTS[1]))
+        tests.append((found, label))
+    return F.coalesce(*[F.when(test, label) for test, label in tests], F.lit("unknown"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -96,6 +116,16 @@ def derived(g: Graph) -> DataFrame:
     return g.documents.select("path", F.concat(head, body, F.lit("\n```\n# no heading\n```\n## Part Two\nsee [x](../b/c.ts) and https://e.org/z\n"), F.repeat(F.lit("line\n"), (F.col("doc_id") % 4).cast("int"))).alias("text"), "doc_id")
 
 
+#: Files and endings of the derived documents, in turn.
+_FILES = ["README.md", "docs/changes.md", "adr-7.md", "x/Roadmap-2.md", "sessions.md", "phase_2.md", "api-docs.md", "release-note.md", "quickstart.md", "a/tutorial.md", "reference.md", "setup.md", "docs/adr/n.md", "x/howto/n.md", "y/api/n.md", "z/design/n.md", "z/n.md", "api/n.md"]
+_TAILS = ["", "## Decision\n", "## Decision\n## Context\n", "## Endpoints\n", "## Prerequisites\n", "## What's new\n", "## Implementation details\n", "# Architecture\n"]
+
+
+def _typed(d: DataFrame) -> DataFrame:
+    turn = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    return d.select("path", turn(_FILES, F.col("doc_id")).alias("file"), F.concat("text", turn(_TAILS, F.floor(F.col("doc_id") / len(_FILES)))).alias("text"))
+
+
 def _q(f):
     return lambda spark, sf_dir: f(derived(Graph(spark, sf_dir)))
 
@@ -105,16 +135,16 @@ QUERIES = {
     "md_headings": _q(headings),
     "md_links": _q(lambda d: links(d).withColumn("resolved", F.when(F.col("internal"), resolve_link(F.col("path"), F.col("target"))))),
     "md_sections": _q(sections),
-    "md_type": _q(lambda d: d.select("path", document_type(F.concat(F.element_at(F.array(*map(F.lit, ["docs/adr/", "api/", "x/README.md?", "z/"])), (F.col("doc_id") % 4 + 1).cast("int")), F.lit("n.md")), F.col("text")).alias("type"))),
+    "md_type": _q(lambda d: _typed(d).select("path", document_type(F.col("file"), F.col("text")).alias("type"))),
     "md_chunks": _q(lambda d: chunks(d).select("id", F.length("text").alias("chars"))),
 }
-_D = ", md AS (SELECT path, doc_id, lang FROM docs WHERE doc_id < 300)"
+_D = ", md AS (SELECT path, doc_id, lang FROM docs)"
 _END = "(11 + doc_id % 4)"
 ORACLES = {k: twin(v) for k, v in {
     "md_frontmatter": _D + " SELECT path, 'Doc ' || doc_id AS title, lang || '|x y' AS tags FROM md",
     "md_headings": _D + " SELECT path, 5::INT AS line, 1::INT AS level, 'Title ' || doc_id AS text, 'title-' || doc_id AS anchor FROM md UNION ALL SELECT path, 10, 2, 'Part Two', 'part-two' FROM md",
     "md_links": _D + " SELECT path, 11::INT AS line, '../b/c.ts' AS target, true AS internal, true AS code, 'docs/b/c.ts' AS resolved FROM md UNION ALL SELECT path, 11, 'https://e.org/z', false, false, NULL FROM md",
     "md_sections": _D + " SELECT path, s::INT AS start, e::INT AS \"end\", h AS heading, 'doc:' || path || ':' || s || '-' || e AS id FROM (SELECT path, 1 AS s, 4 AS e, '' AS h FROM md UNION ALL SELECT path, 5, 9, 'Title ' || doc_id FROM md UNION ALL SELECT path, 10, 12 + doc_id % 4, 'Part Two' FROM md)",
-    "md_type": _D + " SELECT path, ['adr', 'api_doc', 'unknown', 'unknown'][doc_id % 4 + 1] AS type FROM md",
-    "md_chunks": _D + ", b AS (SELECT path, doc_id, lang, length(text[1:60]) AS n FROM docs WHERE doc_id < 300) SELECT 'doc:' || path || ':1-4' AS id, (3 + 1 + length('title: Doc ' || doc_id) + 1 + length('tags: [' || lang || ', \"x y\"]') + 1 + 3)::INT AS chars FROM b UNION ALL SELECT 'doc:' || path || ':5-9', (length('# Title ' || doc_id) + 1 + n + 1 + 3 + 1 + 12 + 1 + 3)::INT FROM b UNION ALL SELECT 'doc:' || path || ':10-' || (12 + doc_id % 4), (11 + 1 + 38 + 1 + 5 * (doc_id % 4))::INT FROM b",
+    "md_type": _D + " SELECT path, coalesce(['readme', 'changelog', 'adr', 'roadmap', 'session_notes', 'phase_doc', 'api_doc', 'release_note', 'guide', 'tutorial', 'reference', 'guide', 'adr', 'guide', 'api_doc', 'design_spec', NULL, NULL][doc_id % 18 + 1], ['unknown', 'unknown', 'adr', 'api_doc', 'guide', 'release_note', 'technical_spec', 'design_spec'][doc_id // 18 % 8 + 1]) AS type FROM md",
+    "md_chunks": _D + ", b AS (SELECT path, doc_id, lang, length(text) AS n FROM docs) SELECT 'doc:' || path || ':1-4' AS id, (3 + 1 + length('title: Doc ' || doc_id) + 1 + length('tags: [' || lang || ', \"x y\"]') + 1 + 3)::INT AS chars FROM b UNION ALL SELECT 'doc:' || path || ':5-9', (length('# Title ' || doc_id) + 1 + n + 1 + 3 + 1 + 12 + 1 + 3)::INT FROM b UNION ALL SELECT 'doc:' || path || ':10-' || (12 + doc_id % 4), (11 + 1 + 38 + 1 + 5 * (doc_id % 4))::INT FROM b",
 }.items()}

@@ -242,7 +242,7 @@ ORACLES = {k: twin(v) for k, v in {
     "ext_to_language": "SELECT path, lower(split_part(path, '/', 2)) AS language FROM files",
     "fn_hashes": """, h(q, i, v) AS (SELECT qualified_name, 0, 0::BIGINT FROM symbols UNION ALL SELECT q, i + 1, ((((v * 31 + ascii(q[i + 1])) + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648 FROM h WHERE i < length(q))
       SELECT qualified_name, sha256(signature)[1:16] AS h16, sha256(signature)[1:32] AS h32, abs(v) AS id FROM symbols JOIN h ON q = qualified_name AND i = length(q)""",
-    "fn_fold_space": "SELECT doc_id, regexp_replace(trim(text[1:300], ' '), '\\s+', ' ', 'g') AS t FROM docs",
+    "fn_fold_space": "SELECT doc_id, regexp_replace(trim(text, ' '), '\\s+', ' ', 'g') AS t FROM docs",
     "fn_slug": "SELECT qualified_name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(' ' || docstring || ' -- X_y'), '[^a-z0-9_\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM symbols",
     "fn_tokens": f"SELECT qualified_name, array_to_string(list_transform(list_sort(list_distinct(list_transform(t, lambda x: list_position(t, x)))), lambda i: t[i]), ',') AS tokens FROM (SELECT qualified_name, list_filter(regexp_split_to_array(trim(regexp_replace(lower(docstring || ' ' || qualified_name || ' the 123 Of'), '[^a-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({STOP_WORDS!r}, w) AND NOT regexp_full_match(w, '[0-9]+')) AS t FROM symbols)",
     "fn_counts": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INT AS words, ceil(length(text) / 4)::BIGINT AS tokens, 1 + len(regexp_extract_all(text, '(?m)^##\\s+'))::INT AS sections FROM docs",
@@ -254,7 +254,7 @@ ORACLES = {k: twin(v) for k, v in {
     "commit_grammar": "SELECT sha, split_part(message, '(', 1) AS type, 'core' AS scope, 'change ' || sha AS description FROM commits",
     "branch_grammar": "SELECT qualified_name, 'feat' AS type, 'ABC-' || complexity AS ticket, name AS description FROM symbols",
     "fn_format_bytes": "SELECT path, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%.1f MB', n / 1048576.0::DOUBLE) END AS size FROM (SELECT path, lines_of_code * 97 AS n FROM files)",
-    "fn_escape_xml": "SELECT page_id, replace(replace(replace(replace(html[1:200], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS x FROM pages",
+    "fn_escape_xml": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS x FROM pages",
     "html_links": "SELECT page_id, (generate_subscripts(l, 1) - 1)::INT AS n, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages)",
     "search_entities": "SELECT qualified_name, name FROM symbols WHERE contains(lower(name), 'widget') ORDER BY lower(name) <> 'widget', qualified_name LIMIT 10",
     "keyword_search_graph": "SELECT qualified_name, min(i)::INT AS number FROM (SELECT qualified_name, i, row_number() OVER (PARTITION BY i ORDER BY qualified_name) AS r FROM symbols, (VALUES (0, 'ring'), (1, 'red'), (2, 'bolt')) k(i, k) WHERE contains(lower(name), k)) WHERE r <= 5 GROUP BY 1",

@@ -138,9 +138,10 @@ def _density(g: Graph) -> DataFrame:
 
 
 def _dependency(g: Graph) -> DataFrame:
-    truth = g.calls.groupBy(F.col("src").alias("query")).agg(F.collect_set("dst").alias("items"))
-    retrieved = g.sparse_calls.groupBy(F.col("src").alias("query")).agg(F.collect_set("dst").alias("items"))
-    return dependency_coverage(retrieved, truth)
+    # Of all callees, a search that only knows functions finds those.
+    items = lambda calls: calls.groupBy(F.col("src").alias("query")).agg(F.collect_set("dst").alias("items"))
+    functions = g.symbols.filter("kind = 'function'").select(F.col("qualified_name").alias("dst"))
+    return dependency_coverage(items(g.calls.join(functions, "dst", "left_semi")), items(g.calls))
 
 
 def _q(f, *columns):
@@ -148,7 +149,7 @@ def _q(f, *columns):
 
 
 QUERIES = {
-    "graph_stats": _q(lambda g: graph_stats(_nodes(g), _edges(g))),
+    "graph_stats": _q(lambda g: graph_stats(_nodes(g.fixed()), _edges(g))),
     "resource_summary": _q(lambda g: g.symbols.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")),
     "label_counts": _q(lambda g: label_counts(g.symbols.select(F.col("kind").alias("label")), ["function", "class", "Module"])),
     "nested_counts": _q(lambda g: g.files.agg(F.count("*").alias("files")).join(g.symbols.agg(F.count("*").alias("symbols"))).join(g.calls.agg(F.count("*").alias("relationships")))),
@@ -188,7 +189,7 @@ ORACLES = {k: twin(v) for k, v in {
     "nested_counts": "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM calls) AS relationships",
     "prompt_stats": "SELECT (SELECT count(*) FROM files) AS files, (SELECT round(avg(complexity), 3) FROM files) AS average, (SELECT count(*) FROM symbols) AS symbols",
     "hot_spots": "SELECT qualified_name, name, file, count(*) AS incoming FROM symbols JOIN calls ON dst = qualified_name GROUP BY ALL ORDER BY incoming DESC, qualified_name LIMIT 20",
-    "hotspots_summary": "SELECT qualified_name, count(*) AS incoming, regexp_split_to_array(docstring, '[.!?]')[1] AS line FROM symbols JOIN sparse_calls ON dst = qualified_name GROUP BY qualified_name, docstring HAVING count(*) > 2 ORDER BY incoming DESC, qualified_name LIMIT 15",
+    "hotspots_summary": "SELECT qualified_name, count(*) AS incoming, regexp_split_to_array(docstring, '[.!?]')[1] AS line FROM symbols JOIN calls ON dst = qualified_name GROUP BY qualified_name, docstring HAVING count(*) > 2 ORDER BY incoming DESC, qualified_name LIMIT 15",
     "hubs": f"SELECT qualified_name, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoing, coalesce(incoming, 0) + coalesce(outgoing, 0) AS total FROM symbols s LEFT JOIN {_DEG} WHERE coalesce(incoming, 0) + coalesce(outgoing, 0) >= 5 ORDER BY total DESC, qualified_name LIMIT 20",
     "top_callers": "SELECT src, count(*) AS n FROM calls GROUP BY src ORDER BY n DESC, src LIMIT 20",
     "top_importers": "SELECT src, count(*) AS n FROM imports GROUP BY src ORDER BY n DESC, src LIMIT 20",
@@ -207,7 +208,7 @@ ORACLES = {k: twin(v) for k, v in {
     "centrality": f"SELECT qualified_name, coalesce(incoming, 0) + coalesce(outgoing, 0) AS degree, round(least(1.0, ln(1 + coalesce(incoming, 0) + coalesce(outgoing, 0)) / 10), 6) AS centrality FROM symbols s LEFT JOIN {_DEG}",
     "prd_coverage": "SELECT prd_id, count(*) FILTER (id IN (SELECT dst FROM implementations)) AS covered, count(*) FILTER (id NOT IN (SELECT dst FROM implementations)) AS uncovered, round(100.0::DOUBLE * count(*) FILTER (id IN (SELECT dst FROM implementations)) / count(*), 2) AS percent FROM requirements GROUP BY prd_id",
     "edge_density": "SELECT e AS edges, f AS functions, round(e / f, 6) AS density, CASE WHEN e / f > 3 THEN 'hybrid' WHEN e / f >= 1.5 THEN 'neutral' ELSE 'vector-only' END AS advice FROM (SELECT (SELECT count(*) FROM calls) AS e, (SELECT count(*) FROM symbols WHERE kind = 'function') AS f)",
-    "dependency_coverage": "SELECT count(*) AS queries, round(avg(c), 6) AS mean, round(stddev(c), 6) AS deviation FROM (SELECT count(*) FILTER (sparse) / count(*) AS c FROM calls GROUP BY src HAVING count(*) FILTER (sparse) > 0)",
+    "dependency_coverage": "SELECT count(*) AS queries, round(avg(c), 6) AS mean, round(stddev(c), 6) AS deviation FROM (SELECT count(kind) / count(*) AS c FROM calls LEFT JOIN (SELECT qualified_name, kind FROM symbols WHERE kind = 'function') ON qualified_name = dst GROUP BY src HAVING count(kind) > 0)",
     "embed_cache_stats": "SELECT count(*) AS entries, sum(len(embedding) * 4)::BIGINT AS bytes FROM vectors",
     "scope_mode": "SELECT kind, scope FROM (SELECT kind, split_part(file, '/', 2) AS scope, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, split_part(file, '/', 2)) AS r FROM symbols GROUP BY kind, split_part(file, '/', 2)) WHERE r = 1",
 }.items()}

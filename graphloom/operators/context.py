@@ -141,9 +141,9 @@ QUERIES = {
 _TOP = "(SELECT v.id, v.qualified_name, round(list_dot_product(v.embedding, q.embedding) / (sqrt(list_dot_product(v.embedding, v.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding))), 9) AS score FROM vectors v, (SELECT embedding FROM vectors WHERE vec_id = 0) q ORDER BY score DESC, v.id LIMIT {})"
 ORACLES = {k: twin(v) for k, v in {
     "hierarchy_navigate": ", h AS (SELECT DISTINCT 1 AS level, split_part(path, '/', 1) AS id, '' AS parent FROM files UNION ALL SELECT 2, path, split_part(path, '/', 1) FROM files UNION ALL SELECT 3, qualified_name, file FROM symbols) SELECT level, id, coalesce((SELECT min(c.id) FROM h c WHERE c.parent = h.id AND c.level = h.level + 1), id) AS \"in\", parent AS out, coalesce(lead(id) OVER w, first_value(id) OVER w) AS lateral FROM h WINDOW w AS (PARTITION BY level, parent ORDER BY id)",
-    "nav_hints": ", x AS (SELECT a.file AS f, b.file AS t FROM sparse_calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst WHERE a.file <> b.file) SELECT file, array_to_string(list_sort(list(qualified_name))[1:3], ',') AS first, count(*) FILTER (name IN ('red widget', 'small ring')) AS entry_points, (SELECT count(*) FROM x WHERE f = s.file) AS callees, (SELECT count(*) FROM x WHERE t = s.file) AS callers FROM symbols s GROUP BY file",
+    "nav_hints": ", x AS (SELECT a.file AS f, b.file AS t FROM calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst WHERE a.file <> b.file) SELECT file, array_to_string(list_sort(list(qualified_name))[1:3], ',') AS first, count(*) FILTER (name IN ('red widget', 'small ring')) AS entry_points, (SELECT count(*) FROM x WHERE f = s.file) AS callees, (SELECT count(*) FROM x WHERE t = s.file) AS callers FROM symbols s GROUP BY file",
     "position_context": "SELECT file, qualified_name, signature, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY qualified_name) AS r FROM symbols) WHERE r <= 5",
-    "assemble_context": f", hi AS (SELECT * FROM {_TOP.format(5)}), b AS (SELECT q, max(r) AS relevance FROM (SELECT qualified_name AS q, 1.0::DOUBLE AS r FROM hi UNION ALL SELECT dst, 0.6::DOUBLE FROM sparse_calls WHERE src IN (SELECT qualified_name FROM hi) UNION ALL SELECT qualified_name, 0.4::DOUBLE FROM symbols WHERE file IN (SELECT file FROM symbols WHERE qualified_name IN (SELECT qualified_name FROM hi))) GROUP BY q), t AS (SELECT s.qualified_name, relevance, ceil((length(signature) + length(docstring)) / 4)::BIGINT AS tokens FROM b JOIN symbols s ON s.qualified_name = q) SELECT *, floor(tokens * least(1.0::DOUBLE, 500::DOUBLE / (sum(tokens) OVER ())))::BIGINT AS granted FROM t",
+    "assemble_context": f", hi AS (SELECT * FROM {_TOP.format(5)}), b AS (SELECT q, max(r) AS relevance FROM (SELECT qualified_name AS q, 1.0::DOUBLE AS r FROM hi UNION ALL SELECT dst, 0.6::DOUBLE FROM calls WHERE src IN (SELECT qualified_name FROM hi) UNION ALL SELECT qualified_name, 0.4::DOUBLE FROM symbols WHERE file IN (SELECT file FROM symbols WHERE qualified_name IN (SELECT qualified_name FROM hi))) GROUP BY q), t AS (SELECT s.qualified_name, relevance, ceil((length(signature) + length(docstring)) / 4)::BIGINT AS tokens FROM b JOIN symbols s ON s.qualified_name = q) SELECT *, floor(tokens * least(1.0::DOUBLE, 500::DOUBLE / (sum(tokens) OVER ())))::BIGINT AS granted FROM t",
     "snapshot_context": f"SELECT q AS qualified_name, min(s)::INT AS source FROM (SELECT qualified_name AS q, 0 AS s FROM symbols WHERE file = 'Brand#3/SMALL' UNION ALL SELECT qualified_name, 1 FROM {_TOP.format(20)} UNION ALL SELECT qualified_name, 2 FROM symbols WHERE name LIKE '%widget%') GROUP BY q ORDER BY 2, 1 LIMIT 40",
     "explain_risk": "SELECT dst, 'Risk ' || CASE WHEN n > 20 OR f > 15 THEN 'critical' WHEN n > 10 OR f > 8 OR n > 30 THEN 'high' WHEN n > 3 OR f > 3 OR n > 10 THEN 'medium' ELSE 'low' END || ': ' || n || ' direct callers, ' || n || ' in all, ' || f || ' files' AS text FROM (SELECT dst, count(*) AS n, count(DISTINCT file) AS f FROM calls JOIN symbols ON qualified_name = src GROUP BY dst)",
     "explain_path": "SELECT qualified_name, file || ' -> ' || kind || ' -> ' || name || ' (2 steps)' AS text FROM symbols",

@@ -228,7 +228,7 @@ ORACLES = {k: twin(v) for k, v in {
     "docs_for_target": "SELECT DISTINCT d.path, d.type FROM docs d JOIN describes e ON e.src = d.path WHERE e.dst = 'part:40' OR e.dst IN (SELECT file FROM symbols WHERE qualified_name = 'part:40')",
     "related_docs": "SELECT d.path, d.type FROM docs d JOIN refs r ON r.dst = d.path WHERE r.src = 'docs/src5/5.md'",
     "symbol_ctx": f"SELECT {_SC}, f.language FROM symbols s JOIN files f ON f.path = s.file WHERE name = 'red widget'",
-    "related_imports_calls": "SELECT path, max(relevance)::DOUBLE AS relevance FROM (SELECT i.dst AS path, 0.7 AS relevance FROM imports i JOIN symbols s ON s.file = i.src WHERE s.qualified_name = 'part:17' UNION ALL SELECT t.file, 0.6 FROM sparse_calls c JOIN symbols t ON t.qualified_name = c.dst WHERE c.src = 'part:17') GROUP BY path",
+    "related_imports_calls": "SELECT path, max(relevance)::DOUBLE AS relevance FROM (SELECT i.dst AS path, 0.7 AS relevance FROM imports i JOIN symbols s ON s.file = i.src WHERE s.qualified_name = 'part:17' UNION ALL SELECT t.file, 0.6 FROM calls c JOIN symbols t ON t.qualified_name = c.dst WHERE c.src = 'part:17') GROUP BY path",
     "symbols_left_file": f"SELECT {_SC}, f.language FROM symbols s LEFT JOIN (SELECT * FROM files WHERE language <> 'go') f ON f.path = s.file",
     "prd_list": "SELECT prd_id, count(id) AS chunks FROM requirements GROUP BY prd_id",
     "prd_chunks": "SELECT id, prd_id, priority, count(i.src) AS implementations FROM requirements r LEFT JOIN implementations i ON i.dst = r.id GROUP BY ALL",
@@ -239,8 +239,8 @@ ORACLES = {k: twin(v) for k, v in {
     "blame_symbol": "SELECT qualified_name, sha, r::INT AS rank FROM (SELECT s.qualified_name, c.sha, row_number() OVER (PARTITION BY s.qualified_name ORDER BY c.timestamp DESC, c.sha) AS r FROM symbols s JOIN modifies m ON m.path = s.file JOIN commits c ON c.sha = m.sha WHERE s.name = 'red widget') WHERE r <= 5",
     "resolve_calls": """SELECT file, caller, callee, coalesce(min_by(target, (tier, target)) FILTER (tier < 3), max(target)) AS target, min(tier) AS tier FROM (
       SELECT r.*, s.qualified_name AS target, CASE WHEN s.file = r.file THEN 1 WHEN EXISTS (SELECT 1 FROM imports i WHERE i.src = r.file AND i.dst = s.file) THEN 2 ELSE 3 END AS tier
-      FROM (SELECT DISTINCT a.file, c.src AS caller, b.name AS callee FROM sparse_calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst) r JOIN symbols s ON s.name = r.callee) GROUP BY ALL""",
-    "symbol_vectors": "SELECT v.qualified_name, v.id, v.language, v.level FROM vectors v JOIN symbols s USING (qualified_name) WHERE vec_id < 200",
+      FROM (SELECT DISTINCT a.file, c.src AS caller, b.name AS callee FROM calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst) r JOIN symbols s ON s.name = r.callee) GROUP BY ALL""",
+    "symbol_vectors": "SELECT v.qualified_name, v.id, v.language, v.level FROM vectors v JOIN symbols s USING (qualified_name)",
     "file_symbol_vectors": "SELECT s.qualified_name, coalesce(string_agg(v.id, ',' ORDER BY v.id), '') AS vector_ids FROM symbols s LEFT JOIN vectors v USING (qualified_name) WHERE s.file = 'Brand#3/SMALL' GROUP BY 1",
     "archived_semi": "SELECT path FROM docs WHERE status = 'archived'",
     "active_anti": "SELECT path FROM docs WHERE status <> 'archived'",

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.model import Graph, twin
 
 D = 8
 
-# Base weights of the nine context dimensions and words that raise one of them.
-BASE_WEIGHTS = {"structural": 0.15, "semantic": 0.2, "temporal": 0.1, "requirements": 0.1, "summary": 0.1, "navigational": 0.1, "session": 0.1, "intent": 0.05, "impact": 0.1}
+# Base weights of the nine context dimensions, and words that raise one of them.
+BASE_WEIGHTS = {"structural": 0.20, "semantic": 0.25, "temporal": 0.10, "requirements": 0.05, "summary": 0.15, "navigational": 0.05, "session": 0.10, "intent": 0.05, "impact": 0.05}
 DIMENSION_WORDS = {
-    "structural": ["call", "dependency", "depends", "import", "graph"], "semantic": ["similar", "like", "related", "meaning"], "temporal": ["recent", "changed", "history", "commit"],
-    "requirements": ["requirement", "spec", "prd", "feature"], "summary": ["overview", "summary", "architecture"], "navigational": ["where", "navigate", "find"],
-    "session": ["session", "previous", "earlier"], "intent": ["goal", "task", "fix", "add"], "impact": ["impact", "break", "affect", "risk"],
+    "structural": ["call", "depend", "import", "inherit", "graph", "relationship"], "semantic": ["similar", "search", "find", "like", "related"], "temporal": ["recent", "history", "change", "commit", "hot", "active"],
+    "requirements": ["requirement", "prd", "spec", "feature", "user story"], "summary": ["overview", "summary", "explain", "what does", "purpose"], "navigational": ["navigate", "explore", "traverse", "drill", "zoom"],
+    "session": ["working", "modified", "staged", "current", "branch"], "intent": ["why", "intent", "purpose", "goal", "motivation"], "impact": ["impact", "break", "affect", "refactor", "risk", "caller"],
 }
+#: Words that double a dimension, and the minutes after which its state is stale.
+DOUBLING_WORDS = {"requirements": ["requirement", "prd", "spec"], "impact": ["refactor", "change", "break"]}
+STALE_MINUTES = 10
 
 
 def bandit_update(rewards: DataFrame, arm: str, features: list[str], reward: str) -> DataFrame:
@@ -31,23 +30,30 @@ def bandit_update(rewards: DataFrame, arm: str, features: list[str], reward: str
 
 
 def bandit_score(arms: DataFrame, arm: str, x: list[float], alpha: float = 1.0) -> DataFrame:
-    """Upper confidence bound of each arm for a context."""
+    """Upper confidence bound of each arm for a context: with A = L L' (Cholesky), the mean is (L^-1 x).(L^-1 b), the
+    width the length of L^-1 x.  All of it are column expressions; each step names its columns, so none is written out
+    twice."""
     d = len(x)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = np.array(x)
-        for f in frames:
-            m = np.zeros((len(f), d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    m[:, i, j] = m[:, j, i] = f[f"a{i}{j}"].to_numpy()
-            b = f[[f"b{i}" for i in range(d)]].to_numpy()
-            if len(f):
-                both = np.linalg.solve(m, np.stack([b, np.broadcast_to(v, b.shape)], 2))
-                score = both[:, :, 0] @ v + alpha * np.sqrt(np.maximum(both[:, :, 1] @ v, 0))
-                yield pd.DataFrame({"arm": f[arm].astype(str), "score": score.round(9)})
-
-    return arms.mapInPandas(run, "arm string, score double")
+    df = arms.select(F.col(arm).cast("string").alias("arm"), *[F.col(f"a{i}{j}").cast("double") for i in range(d) for j in range(i, d)], *[F.col(f"b{i}").cast("double") for i in range(d)])
+    c = F.col
+    for i in range(d):  # row i of L, then of L^-1 x and L^-1 b
+        diagonal = c(f"a{i}{i}")
+        for k in range(i):
+            diagonal = diagonal - c(f"l{i}{k}") * c(f"l{i}{k}")
+        df = df.withColumn(f"l{i}{i}", F.sqrt(diagonal))
+        below = {}
+        for j in range(i + 1, d):
+            value = c(f"a{i}{j}")
+            for k in range(i):
+                value = value - c(f"l{i}{k}") * c(f"l{j}{k}")
+            below[f"l{j}{i}"] = value / c(f"l{i}{i}")
+        u, w = F.lit(float(x[i])), c(f"b{i}")
+        for k in range(i):
+            u, w = u - c(f"l{i}{k}") * c(f"u{k}"), w - c(f"l{i}{k}") * c(f"w{k}")
+        df = df.withColumns(below | {f"u{i}": u / c(f"l{i}{i}"), f"w{i}": w / c(f"l{i}{i}")})
+    mean = sum((c(f"u{i}") * c(f"w{i}") for i in range(1, d)), c("u0") * c("w0"))
+    width = sum((c(f"u{i}") * c(f"u{i}") for i in range(1, d)), c("u0") * c("u0"))
+    return df.select("arm", F.round(mean + alpha * F.sqrt(width), 9).alias("score"))
 
 
 def new_arm_score(x: Column, alpha: float = 1.0) -> Column:
@@ -58,46 +64,46 @@ def new_arm_score(x: Column, alpha: float = 1.0) -> Column:
 def rank_dimensions(queries: DataFrame, budget: int, state: DataFrame) -> DataFrame:
     """Score and budget of each dimension per query.
 
-    state: dimension, available, age_minutes, focus (a current file or an active navigation).  Words of
-    a dimension add 0.05 each, 0.15 at most; focus and age scale; the budget is split by score."""
-    rows = [(k, w, DIMENSION_WORDS[k]) for k, w in BASE_WEIGHTS.items()]
-    table = queries.sparkSession.createDataFrame(rows, "dimension string, base double, words array<string>")
-    hits = F.size(F.filter("words", lambda w: F.lower("query").contains(w)))
-    boost = F.when(F.col("focus") & (F.col("dimension") == "navigational"), 2.0).when(F.col("focus") & F.col("dimension").isin("session", "impact"), 1.5).otherwise(1.0)
-    score = (F.col("base") + F.least(0.05 * hits, F.lit(0.15))) * boost * F.when(F.col("age_minutes") > 10, 0.7).otherwise(1.0)
-    score = score * F.when(F.col("dimension").isin("requirements", "impact") & (hits > 0), 2.0).otherwise(1.0)
+    queries: query, current_file and session (whether a file is open, and whether the query's session navigates);
+    state: dimension, available, age_minutes.  Words of a dimension add 0.05 each, 0.15 at most; an open file
+    raises session and impact by half, the session doubles navigational; a stale state costs 0.3, and words about
+    requirements or refactoring double theirs.  The budget is split by score; a dimension without a state has none."""
+    rows = [(k, w, DIMENSION_WORDS[k], DOUBLING_WORDS.get(k, [])) for k, w in BASE_WEIGHTS.items()]
+    table = queries.sparkSession.createDataFrame(rows, "dimension string, base double, words array<string>, doubling array<string>")
+    has = lambda w: F.contains(F.lower("query"), w)
+    score = F.col("base") + F.least(0.05 * F.size(F.filter("words", has)), F.lit(0.15))
+    score = score * F.when(F.col("current_file") & F.col("dimension").isin("session", "impact"), 1.5).otherwise(1.0) * F.when(F.col("session") & (F.col("dimension") == "navigational"), 2.0).otherwise(1.0)
+    score = score * F.when(F.col("age_minutes") > STALE_MINUTES, 0.7).otherwise(1.0) * F.when(F.exists("doubling", has), 2.0).otherwise(1.0)
     scored = queries.crossJoin(F.broadcast(table)).join(F.broadcast(state), "dimension").withColumn("score", F.round(F.when(F.col("available"), score).otherwise(0.0), 9))
-    from pyspark.sql import Window
-
     total = F.sum("score").over(Window.partitionBy("query"))
-    return scored.select("query", "dimension", F.round("score", 6).alias("score"), F.floor(budget * F.col("score") / total).alias("budget"))
+    return scored.select("query", "dimension", F.round("score", 6).alias("score"), F.when(total > 0, F.floor(budget * F.col("score") / total)).otherwise(0).alias("budget"))
 
 
 def manifold_health(state: DataFrame) -> DataFrame:
-    """active, stale or unavailable dimensions and the overall state."""
-    kind = F.when(~F.col("available"), "unavailable").when(F.col("age_minutes").isNull(), "missing").when(F.col("age_minutes") > 10, "stale").otherwise("active")
-    counted = state.withColumn("kind", kind).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("active", "stale", "missing", "unavailable")])
-    return counted.withColumn("health", F.when(F.col("active") >= 5, "healthy").when(F.col("active") >= 2, "degraded").otherwise("poor"))
+    """Active, stale and missing dimensions, and the whole: healthy from five active ones on, degraded from two on."""
+    kind = F.when(~F.col("available") | F.col("age_minutes").isNull(), "missing").when(F.col("age_minutes") > STALE_MINUTES, "stale").otherwise("active")
+    counted = state.withColumn("kind", kind).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("active", "stale", "missing")])
+    return counted.withColumn("health", F.when(F.col("active") >= 5, "healthy").when(F.col("active") >= 2, "degraded").otherwise("unavailable"))
 
 
 def assemble(ranked: DataFrame, texts: DataFrame, least: int = 50) -> DataFrame:
-    """Sections whose budget is worth it, cut to it, as XML; tokens are a quarter of the characters."""
-    kept = ranked.filter(F.col("budget") >= least).join(texts, "dimension")
+    """Sections of dimensions that score, have text, and whose budget is worth it, cut to four characters a token."""
+    kept = ranked.filter((F.col("score") > 0) & (F.col("budget") >= least)).join(texts, "dimension").filter(F.trim("text") != "")
     body = F.substring("text", F.lit(1), (F.col("budget") * 4).cast("int"))
-    xml = F.concat(F.lit("<"), "dimension", F.lit(">"), body, F.lit("</"), "dimension", F.lit(">"))
+    xml = F.concat(F.lit('    <dimension name="'), "dimension", F.lit('">\n      <![CDATA['), body, F.lit("]]>\n    </dimension>"))
     return kept.select("query", "dimension", xml.alias("section"), F.ceil(F.length(xml) / 4).alias("tokens"))
 
 
 def dimensions_state(spark) -> DataFrame:
-    rows = [(k, k != "summary", 3 * i, k in ("session", "impact", "navigational")) for i, k in enumerate(BASE_WEIGHTS)]
-    return spark.createDataFrame(rows, "dimension string, available boolean, age_minutes int, focus boolean")
+    rows = [(k, k != "summary", 3 * i) for i, k in enumerate(BASE_WEIGHTS)]
+    return spark.createDataFrame(rows, "dimension string, available boolean, age_minutes int")
 
 
-_QUERIES_TEXT = ["what depends on this call", "recent changes and impact", "requirement spec for a feature", "overview"]
+_QUERIES_TEXT = [("what depends on this call", True, False), ("recent changes and impact", True, True), ("requirement spec for a feature", False, False), ("overview", False, True), ("Explore why this could break a caller", True, True)]
 
 
 def _queries(spark) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in _QUERIES_TEXT], "query string")
+    return spark.createDataFrame(_QUERIES_TEXT, "query string, current_file boolean, session boolean")
 
 
 def _rewards(g: Graph) -> DataFrame:
@@ -112,7 +118,7 @@ _FEATURES = [f"f{i}" for i in range(D)]
 
 def _update(g: Graph) -> DataFrame:
     out = bandit_update(_rewards(g), "event_type", _FEATURES, "reward")
-    return out.select("event_type", "pulls", *[F.round(c, 4).alias(c) for c in ("a00", "a01", "a12", "a27", "a77", "b0", "b3", "b7", "total_reward")])
+    return out.select("event_type", "pulls", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("event_type", "pulls")])
 
 
 def _score(g: Graph) -> DataFrame:
@@ -141,17 +147,24 @@ QUERIES = {
 }
 
 _RW = ", rw AS (SELECT event_type, 1.0::DOUBLE AS f0, hour(ts) / 24 AS f1, json_extract_string(props, '$.k')::DOUBLE / 100 AS f2, day(ts) / 31 AS f3, (event_id % 7) / 7 AS f4, (user_id % 5) / 5 AS f5, minute(ts) / 60 AS f6, (event_id % 3) / 3 AS f7, floor(value) / 100 AS reward FROM events)"
-_ST = ", st AS (SELECT * FROM (VALUES " + ", ".join(f"({k!r}, {w}::DOUBLE, {DIMENSION_WORDS[k]!r}, {k != 'summary'}, {3 * i}, {k in ('session', 'impact', 'navigational')})" for i, (k, w) in enumerate(BASE_WEIGHTS.items())) + ") v(dimension, base, words, available, age, focus)), qs AS (SELECT unnest(" + repr(_QUERIES_TEXT) + ") AS query)"
+# The twin's values are written out here by hand and not taken from the tables above.
+_ST = """, st AS (SELECT * FROM (VALUES ('structural', 0.2::DOUBLE, ['call', 'depend', 'import', 'inherit', 'graph', 'relationship'], true, 0), ('semantic', 0.25, ['similar', 'search', 'find', 'like', 'related'], true, 3),
+  ('temporal', 0.1, ['recent', 'history', 'change', 'commit', 'hot', 'active'], true, 6), ('requirements', 0.05, ['requirement', 'prd', 'spec', 'feature', 'user story'], true, 9),
+  ('summary', 0.15, ['overview', 'summary', 'explain', 'what does', 'purpose'], false, 12), ('navigational', 0.05, ['navigate', 'explore', 'traverse', 'drill', 'zoom'], true, 15),
+  ('session', 0.1, ['working', 'modified', 'staged', 'current', 'branch'], true, 18), ('intent', 0.05, ['why', 'intent', 'purpose', 'goal', 'motivation'], true, 21),
+  ('impact', 0.05, ['impact', 'break', 'affect', 'refactor', 'risk', 'caller'], true, 24)) v(dimension, base, words, available, age)),
+qs AS (SELECT * FROM (VALUES ('what depends on this call', true, false), ('recent changes and impact', true, true), ('requirement spec for a feature', false, false), ('overview', false, true), ('Explore why this could break a caller', true, true)) v(query, open, session))"""
 _RK = _ST + """, hs AS (SELECT *, len(list_filter(words, lambda w: contains(lower(query), w))) AS hits FROM qs, st),
-  sc AS (SELECT query, dimension, round(CASE WHEN available THEN (base + least(0.05::DOUBLE * hits, 0.15::DOUBLE)) * CASE WHEN focus AND dimension = 'navigational' THEN 2 WHEN focus AND dimension IN ('session', 'impact') THEN 1.5::DOUBLE ELSE 1 END
-    * CASE WHEN age > 10 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN dimension IN ('requirements', 'impact') AND hits > 0 THEN 2 ELSE 1 END ELSE 0 END, 9) AS score FROM hs),
+  sc AS (SELECT query, dimension, round(CASE WHEN available THEN (base + least(0.05::DOUBLE * hits, 0.15::DOUBLE)) * CASE WHEN session AND dimension = 'navigational' THEN 2 WHEN open AND dimension IN ('session', 'impact') THEN 1.5::DOUBLE ELSE 1 END
+    * CASE WHEN age > 10 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN (dimension = 'requirements' AND regexp_matches(lower(query), 'requirement|prd|spec')) OR (dimension = 'impact' AND regexp_matches(lower(query), 'refactor|change|break')) THEN 2 ELSE 1 END ELSE 0 END, 9) AS score FROM hs),
   rk AS (SELECT query, dimension, round(score, 6) AS score, floor(1000 * score / sum(score) OVER (PARTITION BY query))::BIGINT AS budget FROM sc)"""
+_AB = ", ".join([f"round(sum(f{i} * f{j}){' + 1' if i == j else ''}, 4) AS a{i}{j}" for i in range(D) for j in range(i, D)] + [f"round(sum(reward * f{i}), 4) AS b{i}" for i in range(D)])
 ORACLES = {k: twin(v) for k, v in {
-    "bandit_update": _RW + " SELECT event_type, count(*) AS pulls, round(sum(f0 * f0) + 1, 4) AS a00, round(sum(f0 * f1), 4) AS a01, round(sum(f1 * f2), 4) AS a12, round(sum(f2 * f7), 4) AS a27, round(sum(f7 * f7) + 1, 4) AS a77, round(sum(reward * f0), 4) AS b0, round(sum(reward * f3), 4) AS b3, round(sum(reward * f7), 4) AS b7, round(sum(reward), 4) AS total_reward FROM rw GROUP BY event_type",
+    "bandit_update": _RW + f" SELECT event_type, count(*) AS pulls, {_AB}, round(sum(reward), 4) AS total_reward FROM rw GROUP BY event_type",
     "bandit_stats": _RW + " SELECT event_type, count(*) AS pulls, round(sum(reward), 4) AS total, round(avg(reward), 6) AS mean FROM rw GROUP BY event_type",
     "bandit_new_arm": "SELECT id, round(sqrt(list_sum(list_transform(embedding[1:8], lambda x: x * x))), 6) AS score FROM vectors",
     "rank_dimensions": _RK + " SELECT * FROM rk",
-    "manifold_health": _ST + " SELECT count(*) FILTER (available AND age <= 10) AS active, count(*) FILTER (available AND age > 10) AS stale, 0::BIGINT AS missing, count(*) FILTER (NOT available) AS unavailable, CASE WHEN count(*) FILTER (available AND age <= 10) >= 5 THEN 'healthy' ELSE 'degraded' END AS health FROM st",
-    "assemble_manifold": _RK + ", se AS (SELECT query, dimension, '<' || dimension || '>' || rpad(dimension, 300, 'x')[1:budget * 4] || '</' || dimension || '>' AS section FROM rk WHERE budget >= 50) SELECT *, ceil(length(section) / 4)::BIGINT AS tokens FROM se",
+    "manifold_health": "SELECT 4::BIGINT AS active, 4::BIGINT AS stale, 1::BIGINT AS missing, 'degraded' AS health",
+    "assemble_manifold": _RK + ", se AS (SELECT query, dimension, '    <dimension name=\"' || dimension || '\">' || chr(10) || '      <![CDATA[' || rpad(dimension, 300, 'x')[1:budget * 4] || ']]>' || chr(10) || '    </dimension>' AS section FROM rk WHERE budget >= 50) SELECT *, ceil(length(section) / 4)::BIGINT AS tokens FROM se",
     "transition_stats": "SELECT count(*) AS steps, count(DISTINCT event_type) AS phases, count(DISTINCT user_id) AS sequences FROM events",
 }.items()}

@@ -23,7 +23,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, distance) within `depth` steps along src to dst; start: node, at distance 0."""
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     seen = cut(start.select("node", F.lit(0).alias("distance")))
     frontier = seen
     for level in range(1, depth + 1):
@@ -39,7 +39,7 @@ def trails(edges: DataFrame, start: DataFrame, depth: int, mode: str = "trail",
     """All paths of 1 to `depth` edges from the start nodes: nodes (array) and length.
 
     mode trail: no edge twice; simple: no node twice.  `keep` filters what is returned, not what goes on."""
-    step = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).distinct()
+    step = cut(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).distinct())
     front = start.select(F.array("node").alias("nodes"), F.array().cast("array<string>").alias("used"))
     found = []
     for length in range(1, depth + 1):
@@ -206,7 +206,7 @@ def _nodes(g: Graph, *names: str) -> DataFrame:
 
 
 def _q(f, *columns):
-    return lambda spark, sf_dir: f(Graph(spark, sf_dir)).select(*columns) if columns else f(Graph(spark, sf_dir))
+    return lambda spark, sf_dir: f(Graph(spark, sf_dir).fixed()).select(*columns) if columns else f(Graph(spark, sf_dir).fixed())
 
 
 # The start is the symbol with the most calls out, so that there is something to find at any scale.
@@ -237,23 +237,18 @@ QUERIES = {
     "requirement_dependencies": _q(lambda g: reach(g.requirements.select(F.col("id").alias("src"), F.concat(F.lit("NATION_"), ((F.col("number") * 3 + 1) % 25).cast("string")).alias("dst")), _nodes(g, "NATION_2"), 3)),
 }
 
-_START = "(SELECT src FROM sparse_calls GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
-_TYPED = ", te AS (SELECT src, dst, 'CALLS' AS type FROM sparse_calls UNION ALL SELECT src, dst, 'INHERITS' FROM inherits), ud AS (SELECT src, dst, type, true AS fwd FROM te UNION ALL SELECT dst, src, type, false FROM te)"
+_START = "(SELECT src FROM calls GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
+_TYPED = ", te AS (SELECT src, dst, 'CALLS' AS type FROM calls UNION ALL SELECT src, dst, 'INHERITS' FROM inherits), ud AS (SELECT src, dst, type, true AS fwd FROM te UNION ALL SELECT dst, src, type, false FROM te)"
 _BFS = ", st AS MATERIALIZED {start}, walk(node, d) AS (SELECT src, 0 FROM st UNION SELECT e.dst, d + 1 FROM walk JOIN {edges} e ON e.src = node WHERE d < {depth}), lv AS (SELECT node, min(d) AS distance FROM walk GROUP BY node)"
 _FAR = ", far AS MATERIALIZED (SELECT node AS f FROM lv ORDER BY distance DESC, node LIMIT 1)"
-_CYC = ", e0 AS MATERIALIZED ({edges}), p(s, nodes, n) AS (SELECT src, [src, dst], 1 FROM e0 UNION ALL SELECT p.s, list_append(nodes, e0.dst), n + 1 FROM p JOIN e0 ON e0.src = nodes[-1] WHERE n < {n} AND nodes[-1] <> p.s AND (e0.dst = p.s OR NOT list_contains(nodes, e0.dst)))"
 ORACLES = {k: twin(v) for k, v in {
-    "reachability": _BFS.format(start=_START, edges="sparse_calls", depth=4) + " SELECT node, distance::INT AS distance FROM lv",
-    "find_call_paths": ", tp(nodes, used, n) AS (SELECT [qualified_name], []::VARCHAR[], 0 FROM symbols WHERE name = 'red widget' UNION ALL SELECT list_append(nodes, e.dst), list_append(used, e.src || '>' || e.dst), n + 1 FROM tp JOIN sparse_calls e ON e.src = nodes[-1] WHERE n < 5 AND NOT list_contains(used, e.src || '>' || e.dst)) SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM tp WHERE n > 0 AND nodes[-1] IN (SELECT qualified_name FROM symbols WHERE kind = 'function') ORDER BY n, path LIMIT 100",
+    "reachability": _BFS.format(start=_START, edges="calls", depth=4) + " SELECT node, distance::INT AS distance FROM lv",
     "shortest_path": _TYPED + _BFS.format(start=_START, edges="ud", depth=4) + _FAR + " SELECT distance::INT AS length FROM lv WHERE node = (SELECT f FROM far)",
-    "all_paths": _TYPED + _BFS.format(start=_START, edges="ud", depth=4) + _FAR + ", us AS MATERIALIZED (SELECT DISTINCT src, dst FROM ud), ap(nodes, n) AS (SELECT [src], 0 FROM st UNION ALL SELECT list_append(nodes, e.dst), n + 1 FROM ap JOIN us e ON e.src = nodes[-1] WHERE n < 5 AND nodes[-1] <> (SELECT f FROM far) AND NOT list_contains(nodes, e.dst)) SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM ap WHERE n > 0 AND nodes[-1] = (SELECT f FROM far) ORDER BY n, path LIMIT 10",
     "neighborhood": _TYPED + _BFS.format(start=_START, edges="ud", depth=2) + " SELECT l.node, l.distance::INT AS distance, (SELECT min(u.type) FROM ud u JOIN lv x ON x.node = u.src WHERE u.dst = l.node AND x.distance = l.distance - 1) AS relationship, coalesce((SELECT CASE WHEN bool_or(fwd) AND bool_or(NOT fwd) THEN 'both' WHEN bool_or(fwd) THEN 'outgoing' WHEN bool_or(NOT fwd) THEN 'incoming' END FROM ud WHERE src = (SELECT src FROM st) AND dst = l.node), 'indirect') AS direction FROM lv l WHERE l.distance > 0 ORDER BY 2, 1 LIMIT 50",
     "neighborhood_by_distance": _TYPED + _BFS.format(start=_START, edges="ud", depth=3) + " SELECT distance, relationship, count(*) AS n FROM (SELECT l.distance::INT AS distance, (SELECT min(u.type) FROM ud u JOIN lv x ON x.node = u.src WHERE u.dst = l.node AND x.distance = l.distance - 1) AS relationship FROM lv l WHERE l.distance > 0) GROUP BY ALL",
-    "impact": _BFS.format(start="(SELECT 'part:5' AS src)", edges="(SELECT dst AS src, src AS dst FROM sparse_calls)", depth=3) + ", ind AS (SELECT node FROM lv WHERE distance > 1 ORDER BY distance, node LIMIT 50), kids AS (SELECT src AS node, type FROM inherits WHERE dst = 'part:5'), touched AS (SELECT node FROM lv WHERE distance = 1 UNION SELECT node FROM ind UNION SELECT node FROM kids), c AS (SELECT (SELECT count(*) FROM lv WHERE distance = 1) AS direct, (SELECT count(*) FROM ind) AS indirect, (SELECT count(*) FROM kids WHERE type = 'implements') AS implementors, (SELECT count(*) FROM kids WHERE type = 'extends') AS extenders, (SELECT count(DISTINCT file) FROM symbols WHERE qualified_name IN (SELECT node FROM touched)) AS files, (SELECT count(*) FROM touched) AS total) SELECT *, CASE WHEN direct > 20 OR files > 15 THEN 'critical' WHEN direct > 10 OR files > 8 OR total > 30 THEN 'high' WHEN direct > 3 OR files > 3 OR total > 10 THEN 'medium' ELSE 'low' END AS risk FROM c",
+    "impact": _BFS.format(start="(SELECT 'part:5' AS src)", edges="(SELECT dst AS src, src AS dst FROM calls)", depth=3) + ", ind AS (SELECT node FROM lv WHERE distance > 1 ORDER BY distance, node LIMIT 50), kids AS (SELECT src AS node, type FROM inherits WHERE dst = 'part:5'), touched AS (SELECT node FROM lv WHERE distance = 1 UNION SELECT node FROM ind UNION SELECT node FROM kids), c AS (SELECT (SELECT count(*) FROM lv WHERE distance = 1) AS direct, (SELECT count(*) FROM ind) AS indirect, (SELECT count(*) FROM kids WHERE type = 'implements') AS implementors, (SELECT count(*) FROM kids WHERE type = 'extends') AS extenders, (SELECT count(DISTINCT file) FROM symbols WHERE qualified_name IN (SELECT node FROM touched)) AS files, (SELECT count(*) FROM touched) AS total) SELECT *, CASE WHEN direct > 20 OR files > 15 THEN 'critical' WHEN direct > 10 OR files > 8 OR total > 30 THEN 'high' WHEN direct > 3 OR files > 3 OR total > 10 THEN 'medium' ELSE 'low' END AS risk FROM c",
     "bridge_direct": "SELECT (SELECT count(*) FROM calls WHERE (src, dst) IN (('part:5', 'part:6'), ('part:6', 'part:5'))) > 0 AS direct",
-    "cycles_calls": _CYC.format(edges="SELECT src, dst FROM sparse_calls WHERE src <> dst", n=5) + " SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM p WHERE n >= 2 AND nodes[-1] = s ORDER BY n, path LIMIT 50",
-    "cycles_imports": _CYC.format(edges="SELECT src, dst FROM imports WHERE src <> dst", n=2) + " SELECT array_to_string(nodes, '>') AS path, n::INT AS length FROM p WHERE n >= 2 AND nodes[-1] = s ORDER BY n, path LIMIT 10",
-    "dead_code": "SELECT qualified_name, name, file FROM symbols WHERE kind = 'function' AND qualified_name NOT IN (SELECT dst FROM sparse_calls) ORDER BY qualified_name LIMIT 100",
+    "dead_code": "SELECT qualified_name, name, file FROM symbols WHERE kind = 'function' AND qualified_name NOT IN (SELECT dst FROM calls) ORDER BY qualified_name LIMIT 100",
     "k_hop_calls": "SELECT DISTINCT dst AS node FROM calls WHERE src = 'part:5' AND dst <> 'part:5'",
     "modules": "SELECT DISTINCT split_part(path, '/', 1) AS module FROM files",
     "requirement_dependencies": _BFS.format(start="(SELECT 'NATION_2' AS src)", edges="(SELECT id AS src, 'NATION_' || ((number * 3 + 1) % 25) AS dst FROM requirements)", depth=3) + " SELECT node, distance::INT AS distance FROM lv",

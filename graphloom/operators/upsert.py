@@ -108,6 +108,15 @@ def _stamp(g: Graph, cond: str, by: str) -> DataFrame:
     return g.documents.filter(cond).select("path", F.expr(by).alias("updated"))
 
 
+def _classes(g: Graph) -> DataFrame:
+    return g.symbols.filter("kind = 'class'").select(F.col("qualified_name").alias("key"))
+
+
+def _called_back(g: Graph) -> DataFrame:
+    """Each call the other way round, with another count: some replace a call, some are new."""
+    return g.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("call_count") + 10).alias("call_count"))
+
+
 def _delta(g: Graph) -> DataFrame:
     return compute_delta(_tracked(g), _current(g), "document")
 
@@ -118,9 +127,9 @@ def _q(f):
 
 QUERIES = {
     "upsert_node": _q(lambda g: upsert(g.symbols.select("qualified_name", "name", "file"), _new_symbols(g, "complexity > 40", "renamed"), ["qualified_name"])),
-    "upsert_edge": _q(lambda g: upsert_edges(g.sparse_calls, g.calls.select("src", "dst", (F.col("call_count") + 10).alias("call_count")), g.symbols.filter("kind = 'class'").select(F.col("qualified_name").alias("key")), g.symbols.filter("kind = 'class'").select(F.col("qualified_name").alias("key")))),
+    "upsert_edge": _q(lambda g: upsert_edges(g.calls, _called_back(g), _classes(g), _classes(g))),
     "merge_creates_endpoint": _q(lambda g: with_stubs(g.symbols.filter("kind = 'class'").select("qualified_name", "name"), g.implementations, "qualified_name")),
-    "delete_file": _q(lambda g: delete_file(g.symbols, g.calls.drop("sparse"), "Brand#3/SMALL")[1]),
+    "delete_file": _q(lambda g: delete_file(g.symbols, g.calls, "Brand#3/SMALL")[1]),
     "replace_by_file": _q(lambda g: replace_by_file(g.symbols.select("qualified_name", "name", "file"), _new_symbols(g, "file like 'Brand#3/%' and complexity % 2 = 0", "new"))),
     "set_vector_ids": _q(lambda g: set_vector_ids(g.symbols, g.vectors).select("qualified_name", F.when(F.col("vector_ids").isNull(), 0).otherwise(F.size("vector_ids")).alias("n"), "vector_id")),
     "compute_delta": _q(_delta),
@@ -139,9 +148,9 @@ _DE = f"(SELECT path, change FROM (SELECT coalesce(o.path, n.path) AS path, o.ty
 _CLASS = "(SELECT qualified_name FROM symbols WHERE kind = 'class')"
 ORACLES = {k: twin(v) for k, v in {
     "upsert_node": "SELECT qualified_name, CASE WHEN complexity > 40 THEN 'renamed' ELSE name END AS name, file FROM symbols",
-    "upsert_edge": f"SELECT src, dst, call_count + CASE WHEN src IN {_CLASS} AND dst IN {_CLASS} THEN 10 ELSE 0 END AS call_count FROM calls WHERE sparse OR (src IN {_CLASS} AND dst IN {_CLASS})",
+    "upsert_edge": f", back AS (SELECT dst AS src, src AS dst, call_count + 10 AS call_count FROM calls WHERE src IN {_CLASS} AND dst IN {_CLASS}) SELECT * FROM calls WHERE (src, dst) NOT IN (SELECT (src, dst) FROM back) UNION ALL SELECT * FROM back",
     "merge_creates_endpoint": "SELECT qualified_name, name FROM symbols WHERE kind = 'class' UNION ALL SELECT DISTINCT src, NULL FROM implementations WHERE src NOT IN (SELECT qualified_name FROM symbols WHERE kind = 'class')",
-    "delete_file": "SELECT dst, src, call_count FROM sparse_calls WHERE src NOT IN (SELECT qualified_name FROM symbols WHERE file = 'Brand#3/SMALL') AND dst NOT IN (SELECT qualified_name FROM symbols WHERE file = 'Brand#3/SMALL')",
+    "delete_file": "SELECT dst, src, call_count FROM calls WHERE src NOT IN (SELECT qualified_name FROM symbols WHERE file = 'Brand#3/SMALL') AND dst NOT IN (SELECT qualified_name FROM symbols WHERE file = 'Brand#3/SMALL')",
     "replace_by_file": ", n AS (SELECT * FROM symbols WHERE file LIKE 'Brand#3/%' AND complexity % 2 = 0) SELECT qualified_name, name, file FROM symbols WHERE file NOT IN (SELECT file FROM n) UNION ALL SELECT qualified_name, 'new', file FROM n",
     "set_vector_ids": "SELECT s.qualified_name, count(v.id)::INT AS n, min(v.id) AS vector_id FROM symbols s LEFT JOIN vectors v USING (qualified_name) GROUP BY 1",
     "compute_delta": f"SELECT * FROM {_DE}",

@@ -169,5 +169,5 @@ ORACLES = {k: twin(v) for k, v in {
     "scroll": "SELECT id, level FROM vectors WHERE id > 'vec:25' ORDER BY id LIMIT 40",
     "compat_check": "SELECT len(embedding)::INT AS dimension, count(*) AS n, len(embedding) = 64 AS compatible FROM vectors GROUP BY ALL",
     "embed_cache_misses": f"SELECT DISTINCT {_CID} AS cache_id FROM docs WHERE {_CID} NOT IN (SELECT {_CID} FROM docs WHERE doc_id % 3 = 0)",
-    "manifold_retrieval": f", st AS MATERIALIZED (SELECT v.qualified_name AS src FROM vectors v, (SELECT embedding FROM vectors WHERE vec_id = 0) q ORDER BY {_COS} DESC, v.id LIMIT 5), walk(node, d) AS (SELECT src, 0 FROM st UNION SELECT e.dst, d + 1 FROM walk JOIN sparse_calls e ON e.src = node WHERE d < 2), lv AS (SELECT node, min(d) AS distance FROM walk GROUP BY node) SELECT v.id, distance::INT AS distance, round(0.5::DOUBLE * distance + 0.5::DOUBLE * list_distance(v.embedding, q.embedding), 6) AS cost FROM vectors v JOIN lv ON lv.node = v.qualified_name, (SELECT embedding FROM vectors WHERE vec_id = 0) q ORDER BY cost, v.id LIMIT 10",
+    "manifold_retrieval": f", st AS MATERIALIZED (SELECT v.qualified_name AS src FROM vectors v, (SELECT embedding FROM vectors WHERE vec_id = 0) q ORDER BY {_COS} DESC, v.id LIMIT 5), walk(node, d) AS (SELECT src, 0 FROM st UNION SELECT e.dst, d + 1 FROM walk JOIN calls e ON e.src = node WHERE d < 2), lv AS (SELECT node, min(d) AS distance FROM walk GROUP BY node) SELECT v.id, distance::INT AS distance, round(0.5::DOUBLE * distance + 0.5::DOUBLE * list_distance(v.embedding, q.embedding), 6) AS cost FROM vectors v JOIN lv ON lv.node = v.qualified_name, (SELECT embedding FROM vectors WHERE vec_id = 0) q ORDER BY cost, v.id LIMIT 10",
 }.items()}

@@ -15,6 +15,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.staging import cut
+
 #: Languages of the derived files, symbol kinds and document types in their order of use.
 LANGUAGES = ["python", "typescript", "go", "rust", "java"]
 KINDS = ["function", "method", "class", "interface"]
@@ -61,14 +63,12 @@ class Graph:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
         name = lambda c: F.concat(F.lit("part:"), F.col(c).cast("string"))
         pairs = self.table("lineitem").select("l_partkey", F.lead("l_partkey").over(order).alias("next")).filter("next is not null")
-        return pairs.groupBy("l_partkey", "next").agg(F.count("*").alias("call_count")).select(
-            name("l_partkey").alias("src"), name("next").alias("dst"), "call_count", ((F.col("l_partkey") * 31 + F.col("next") * 17) % 37 == 0).alias("sparse")
-        )
+        return pairs.groupBy("l_partkey", "next").agg(F.count("*").alias("call_count")).select(name("l_partkey").alias("src"), name("next").alias("dst"), "call_count")
 
-    @cached_property
-    def sparse_calls(self) -> DataFrame:
-        """About one call in 37: the edges an upsert starts from, and the answers that are held against all calls."""
-        return self.calls.filter("sparse").select("src", "dst", "call_count")
+    def fixed(self) -> Graph:
+        """This graph with its calls computed once, for queries that go over them several times."""
+        self.calls = cut(self.calls)
+        return self
 
     @cached_property
     def imports(self) -> DataFrame:
@@ -154,10 +154,9 @@ files AS (SELECT p_brand || '/' || p_type AS path, first({_sql_pick(LANGUAGES, "
   (sum(p_size) * 10)::BIGINT AS lines_of_code, max(p_partkey) AS updated_at FROM part GROUP BY 1),
 defines AS (SELECT file AS src, qualified_name AS dst, start_line AS line FROM symbols),
 call_pairs AS (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS next FROM lineitem),
-calls AS (SELECT 'part:' || l_partkey AS src, 'part:' || next AS dst, count(*) AS call_count, (l_partkey * 31 + next * 17) % 37 = 0 AS sparse FROM call_pairs WHERE next IS NOT NULL GROUP BY l_partkey, next),
-sparse_calls AS (SELECT src, dst, call_count FROM calls WHERE sparse),
-imports AS (SELECT a.file AS src, b.file AS dst, count(*) AS weight FROM sparse_calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst WHERE a.file <> b.file GROUP BY 1, 2),
-inherits AS (SELECT c.src, c.dst, CASE WHEN b.kind = 'interface' THEN 'implements' ELSE 'extends' END AS type FROM sparse_calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst
+calls AS (SELECT 'part:' || l_partkey AS src, 'part:' || next AS dst, count(*) AS call_count FROM call_pairs WHERE next IS NOT NULL GROUP BY l_partkey, next),
+imports AS (SELECT a.file AS src, b.file AS dst, count(*) AS weight FROM calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst WHERE a.file <> b.file GROUP BY 1, 2),
+inherits AS (SELECT c.src, c.dst, CASE WHEN b.kind = 'interface' THEN 'implements' ELSE 'extends' END AS type FROM calls c JOIN symbols a ON a.qualified_name = c.src JOIN symbols b ON b.qualified_name = c.dst
   WHERE a.kind = 'class' AND b.kind IN ('class', 'interface')),
 commits AS (SELECT o_orderkey::VARCHAR AS sha, 'author' || o_custkey AS author, epoch_ms(o_orderdate) AS timestamp, {_sql_pick(["feat", "fix", "docs", "chore"], "o_orderkey % 4")} || '(core): change ' || o_orderkey AS message FROM orders),
 modifies AS (SELECT l_orderkey::VARCHAR AS sha, p_brand || '/' || p_type AS path, sum(l_quantity::BIGINT)::BIGINT AS insertions, sum(l_linenumber)::BIGINT AS deletions FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),

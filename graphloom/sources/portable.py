@@ -132,7 +132,7 @@ QUERIES = {
     "scan_label": _q(lambda g: g.symbols.filter("kind = 'interface'").select("qualified_name")),
     "prd_import": _q(lambda g: g.requirements.select(F.concat(F.lit("chunk:"), "id").alias("id"), "prd_id").select(strip_prefix(F.col("id")).alias("id"), "prd_id")),
 }
-_EX = ", ex AS (SELECT 'file:' || path AS id, 'file' AS type, path AS name, path AS file, strftime(epoch_ms(updated_at * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS updated FROM files UNION ALL SELECT 'sym:' || qualified_name, 'symbol', name, file, NULL FROM symbols), ee AS (SELECT 'sym:' || src AS source, 'sym:' || dst AS target, 'calls' AS type FROM sparse_calls UNION ALL SELECT 'file:' || src, 'file:' || dst, 'imports' FROM imports UNION ALL SELECT 'file:' || src, 'sym:' || dst, 'contains' FROM defines)"
+_EX = ", ex AS (SELECT 'file:' || path AS id, 'file' AS type, path AS name, path AS file, strftime(epoch_ms(updated_at * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS updated FROM files UNION ALL SELECT 'sym:' || qualified_name, 'symbol', name, file, NULL FROM symbols), ee AS (SELECT 'sym:' || src AS source, 'sym:' || dst AS target, 'calls' AS type FROM calls UNION ALL SELECT 'file:' || src, 'file:' || dst, 'imports' FROM imports UNION ALL SELECT 'file:' || src, 'sym:' || dst, 'contains' FROM defines)"
 ORACLES = {k: twin(v) for k, v in {
     "export_all": _EX + " SELECT * FROM ex",
     "scan_edges": _EX + " SELECT * FROM ee",

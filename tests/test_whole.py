@@ -1,14 +1,13 @@
 """Queries see every row and whole texts: tables made here, with what earlier cuts left out."""
 
-import os
 import random
 
 import pytest
 
 from graphloom import registry
-from graphloom.operators import paths
+from graphloom.functions import markdown
+from graphloom.operators import knowledge, paths
 from tests.test_library import brute_trails, edges_of, nodes
-from tests.test_oracles import SF, duck, norm  # noqa: F401
 
 
 def write(spark, folder, name, rows, schema):
@@ -37,22 +36,6 @@ def test_markdown_has_all_documents_and_whole_texts(spark, documents):
     assert {i: chars[f"doc:docs/src1/{i}.md:5-9"] for i in (1, 299, 300, 5000)} == {i: len(f"# Title {i}\n") + 5 * n + 21 + fence for i, n in ((1, 2), (299, 40), (300, 100), (5000, 200))}
 
 
-# The twins' own table holds one call in 37; here it holds them all.
-CALLS = "dead_code reachability shortest_path neighborhood neighborhood_by_distance impact hotspots_summary codebase_summary affected_callers breaking_changes resolve_calls scan_edges storage_stats manifest export_all load_all file_dependencies file_dependents related_imports_calls interfaces_impl base_classes top_importers multi_key_sort graph_stats nav_hints assemble_context localize concept_cluster comprehensive context_tool manifold_retrieval delete_file expand_context".split()
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", CALLS)
-def test_queries_see_all_calls(spark, duck, name):
-    sql = registry.oracles()[name]
-    whole = sql.replace("FROM calls WHERE sparse)", "FROM calls)")
-    assert whole != sql
-    df, want = registry.queries()[name](spark, SF), duck.sql(whole)
-    at = [want.columns.index(c) for c in df.columns]
-    got = sorted((tuple(norm(v) for v in r) for r in df.collect()), key=repr)
-    assert got == sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=repr)
-
-
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_paths_between_sets_on_random_graphs(spark, seed):
     r = random.Random(seed)
@@ -106,3 +89,30 @@ def test_neighborhood_by_distance_counts_a_large_hub(spark, tmp_path):
     pairs = spark.range(1, n + 1).selectExpr("id as l_orderkey", "explode(array(struct(0L as k, 1 as n), struct(id as k, 2 as n))) as x")
     pairs.selectExpr("l_orderkey", "x.k as l_partkey", "x.n as l_linenumber", "1L as l_suppkey", "1.0D as l_quantity", "1.0D as l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in run(spark, tmp_path, "neighborhood_by_distance")] == [(1, "CALLS", n)]
+
+
+def test_summaries_of_a_ragged_tree(spark):
+    """Files at the root, in a folder and below it, and a folder that only has a folder: it gets no row."""
+    rows = [("r.py:f", "f", "function", "r.py", None, "public"), ("x:g", "g", "function", "a/x.py", "Gets it. More", "public"), ("y:h", "h", "class", "a/b/y.ts", "", "private"), ("z:k", "k", "method", "c/d/z.py", None, "private")]
+    symbols = spark.createDataFrame([(q, n, k, f, d, v, f"{n}(alpha beta)") for q, n, k, f, d, v in rows], "qualified_name string, name string, kind string, file string, docstring string, visibility string, signature string")
+    files = spark.createDataFrame([(f, "typescript" if f.endswith("ts") else "python") for *_, f, _, _ in rows], "path string, language string")
+    got = {r["id"]: r for r in knowledge.summarize_all(symbols, files).collect()}
+    assert {k: r["parent"] for k, r in got.items() if r["level"] > 1} == {
+        "file:r.py": "repo:default", "file:a/x.py": "dir:a", "file:a/b/y.ts": "dir:a/b", "file:c/d/z.py": "dir:c/d", "dir:a": "repo:default", "dir:a/b": "dir:a", "dir:c/d": "dir:c",
+    }
+    assert (got["dir:a"]["symbols"], got["dir:a"]["languages"], got["dir:a"]["summary"]) == (2, ["python", "typescript"], "a module with 2 python, typescript files.")
+    assert got["symbol:r.py:f"]["summary"] == "Function f in r.py." and got["symbol:x:g"]["summary"] == "Gets it." and got["symbol:x:g"]["keywords"] == ["alpha", "beta", "Gets", "More"]
+    assert got["file:a/x.py"]["summary"] == "python file exporting g. Contains 1 symbol." and got["file:c/d/z.py"]["summary"] == "python file with 1 symbol."
+    assert got["file:a/x.py"]["keywords"] == ["Gets", "More", "alpha", "beta"]
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "kind"),
+    [
+        ("docs/README.md", "", "readme"), ("HISTORY.md", "", "changelog"), ("adr_1.md", "", "adr"), ("my-summary.md", "", "session_notes"), ("ApiRef.md", "", "api_doc"), ("install.md", "", "guide"), ("x/decisions/1.md", "", "adr"), ("adr/1.md", "", "unknown"),
+        ("x.md", "## Decision", "unknown"), ("x.md", "## Decision\n## Context", "adr"), ("x.md", "## Status: Accepted", "adr"), ("x.md", "# API Reference", "api_doc"), ("x.md", "## What's New", "release_note"), ("x.md", "## System Design\n## Endpoints", "design_spec"),
+    ],
+)
+def test_document_types(spark, path, text, kind):
+    d = spark.createDataFrame([(path, text)], "path string, text string")
+    assert d.select(markdown.document_type(d["path"], d["text"]).alias("t")).first()["t"] == kind
