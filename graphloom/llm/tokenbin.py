@@ -3,8 +3,9 @@
 Rows are range-partitioned by doc_id; each partition is a shard, cut into blocks of about `BLOCK_IDS`
 ids.  In a block the most frequent pairs of adjacent ids are replaced by nonterminals, round by round;
 the rules and each nonterminal's expansion length are stored with the block, so that ids of one
-document are decoded without expanding the others.  Symbols have 16 bits: ids of the vocabulary, then
-up to 65,536 less that many rules.
+document are decoded without expanding the others.  Rounds go on until one would shorten the block by less than
+`LEAST_GAIN`.  Symbols have 16 bits where the vocabulary leaves room for rules, else 32: ids of the
+vocabulary, then the rules.
 
 Blocks are written by Spark as rows of a Parquet table (shard, block, counts, payload) in the shared
 folder, so a task that is run again leaves no second copy, and are read back from there.
@@ -14,8 +15,8 @@ pre-tokenizer cuts as well; each distinct piece is encoded once per process and
 
 Block format, little endian: magic `GLRP`, then unsigned 32-bit counts of documents, rules and symbols
 and the vocabulary size; per document doc_id (signed 64), a null flag (8), ids (unsigned 32) and its
-first symbol (unsigned 32); per rule left and right symbol (unsigned 16); per rule its expansion length
-(unsigned 32); then the symbols (unsigned 16).  No nonterminal spans two documents.
+first symbol (unsigned 32); per rule left and right symbol (unsigned 16 or 32); per rule its expansion length
+(unsigned 32); then the symbols (unsigned 16 or 32).  No nonterminal spans two documents.
 
 Defined results: a null or empty text has the end id alone; rows with a null doc_id come first;
 repeated rows are written each, ties in doc_id in the order of their texts; an empty table gives an
@@ -39,11 +40,12 @@ from graphloom.llm.scratch import Scratch
 END_ID = 0
 MAGIC = b"GLRP"
 BLOCK_IDS = 1 << 20
-ROUNDS = 6
 #: A pair is worth a rule from this many places on.
 LEAST_USES = 4
-#: A round that saves less than this part of the symbols is the last.
-LEAST_GAIN = 0.02
+#: A round that would save less than this part of the symbols is not done.
+LEAST_GAIN = 0.002
+#: Rules that 16-bit symbols must have room for; else they have 32 bits.
+LEAST_ROOM = 4096
 #: Distinct pieces that a process keeps: about 50 bytes each.
 MAX_KEPT = 2_000_000
 BLANK = tk.byte_class([0x20, 0x0A])
@@ -62,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
         self.byte_char = _byte_chars()
         self._forget()
 
@@ -69,7 +72,7 @@ class Encoder:
         """An empty store: hashes of pieces in order, where their ids begin, ids; and where their bytes begin, bytes."""
         self.hashes = np.zeros(0, np.uint64)
         self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.ids = np.zeros(0, self.kind)
         self.raw_at = np.zeros(0, np.int64)
         self.raw_size = np.zeros(0, np.int64)
         self.words = tk.word_view(np.zeros(0, np.uint8))
@@ -113,7 +116,7 @@ class Encoder:
         for i in np.flatnonzero(~own).tolist():
             ids = self._ids(b.raw[starts[i] : ends[i]].tobytes())
             n[i], at[i] = len(ids), len(store)
-            store = np.append(store, np.array(ids, np.uint16))
+            store = np.append(store, np.array(ids, self.kind))
         which = np.empty(len(order), np.int64)
         which[order] = rank
         n, at = n[which], at[which]
@@ -131,7 +134,7 @@ class Encoder:
         """Add pieces that are not in the store yet."""
         got = [self._ids(t) for t in texts]
         n = np.array([len(x) for x in got], np.int64)
-        flat = np.array([i for x in got for i in x], np.uint16)
+        flat = np.array([i for x in got for i in x], self.kind)
         hashes = np.concatenate((self.hashes, h))
         start = np.concatenate((self.at[:-1], len(self.ids) + np.cumsum(n) - n))
         size = np.concatenate((np.diff(self.at), n))
@@ -174,19 +177,24 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def repair(ids: np.ndarray, at: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def symbol_bits(vocabulary: int) -> int:
+    return 16 if vocabulary + LEAST_ROOM <= 1 << 16 else 32
+
+
+def repair(ids: np.ndarray, at: np.ndarray, vocabulary: int, least_gain: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs by nonterminals: rules (left, right), expansion lengths, symbols, and
     each document's first symbol."""
-    room = 65536 - vocabulary
-    seq = ids.astype(np.uint32)
+    least_gain = LEAST_GAIN if least_gain is None else least_gain
+    bits = symbol_bits(vocabulary)
+    room = (1 << bits) - vocabulary
+    kind = np.uint32 if bits == 16 else np.uint64  # of pairs
+    seq = ids.astype(kind)
     head = np.zeros(len(seq), np.bool_)  # documents start here; no pair spans two
     head[at[:-1][at[:-1] < len(seq)]] = True
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or n_rules >= room:
-            break
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
+    while len(seq) > 1 and n_rules < room:
+        pair = (seq[:-1] << kind(bits)) | seq[1:]
         inner = ~head[1:]
         kinds, count = _counts(pair[inner])
         good = np.flatnonzero(count >= LEAST_USES)
@@ -194,27 +202,31 @@ def repair(ids: np.ndarray, at: np.ndarray, vocabulary: int, rounds: int = ROUND
             break
         good = good[np.argsort(-count[good], kind="stable")][: room - n_rules]
         rank = _lookup(pair, kinds[good], inner)  # 0: none; else larger is more frequent
-        # A place is replaced if its pair beats both neighbours'; in a run of one pair, the first does.
-        take = rank > 0
-        take[1:] &= rank[1:] > rank[:-1]
+        # A place is replaced if its pair beats both neighbours'; in a run of one pair, every other place is.
+        new = np.ones(len(rank), np.bool_)
+        new[1:] = rank[1:] != rank[:-1]
+        here = np.arange(len(rank))
+        take = (rank > 0) & ((here - np.maximum.accumulate(np.where(new, here, 0))) & 1 == 0)
+        take[1:] &= rank[1:] >= rank[:-1]
         take[:-1] &= rank[:-1] >= rank[1:]
         place = np.flatnonzero(take)
         used = np.bincount(rank[place], minlength=len(good) + 1)
         worth = used >= 3
         worth[0] = False
         place = place[worth[rank[place]]]
-        if len(place) < LEAST_GAIN * len(seq):
+        if not len(place) or len(place) < least_gain * len(seq):
             break
         number = np.cumsum(worth) - 1
         rules.append(kinds[good][::-1][np.flatnonzero(worth) - 1])
-        seq[place] = (vocabulary + n_rules + number[rank[place]]).astype(np.uint32)
+        seq[place] = (vocabulary + n_rules + number[rank[place]]).astype(kind)
         n_rules += int(worth.sum())
         keep = np.ones(len(seq), np.bool_)
         keep[place + 1] = False
         seq, head = seq[keep], head[keep]
-    flat = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
-    sides = np.stack([flat >> np.uint32(16), flat & np.uint32(0xFFFF)], 1).astype(np.uint16)
-    return sides, expansion_lengths(sides, vocabulary), seq.astype(np.uint16), np.flatnonzero(head)
+    flat = np.concatenate(rules) if rules else np.zeros(0, kind)
+    symbol = np.uint16 if bits == 16 else np.uint32
+    sides = np.stack([flat >> kind(bits), flat & kind((1 << bits) - 1)], 1).astype(symbol)
+    return sides, expansion_lengths(sides, vocabulary), seq.astype(symbol), np.flatnonzero(head)
 
 
 def _counts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +240,8 @@ def _counts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _lookup(pair: np.ndarray, best_first: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """For each place the rank of its pair: the number of chosen pairs for the best, 1 for the last, 0 for none."""
     bits = 18
-    hashed = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    kind, whole = pair.dtype.type, 8 * pair.dtype.itemsize
+    hashed = lambda x: (x * kind(0x9E3779B97F4A7C15 >> (64 - whole) | 1)) >> kind(whole - bits)
     maybe = np.zeros(1 << bits, np.bool_)
     maybe[hashed(best_first)] = True
     at = np.flatnonzero(maybe[hashed(pair)] & inner)
@@ -258,7 +271,8 @@ def pack_block(doc_ids: list[int | None], counts: np.ndarray, sides: np.ndarray,
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     head = MAGIC + struct.pack("<4I", len(docs), len(sides), len(symbols), vocabulary)
-    return b"".join([head, docs.tobytes(), nulls.tobytes(), counts.astype("<u4").tobytes(), first.astype("<u4").tobytes(), sides.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes()])
+    symbol = f"<u{symbol_bits(vocabulary) // 8}"
+    return b"".join([head, docs.tobytes(), nulls.tobytes(), counts.astype("<u4").tobytes(), first.astype("<u4").tobytes(), sides.astype(symbol).tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(symbol).tobytes()])
 
 
 class TokenBlock:
@@ -276,10 +290,11 @@ class TokenBlock:
             at += out.nbytes
             return out
 
+        symbol = f"<u{symbol_bits(self.vocabulary) // 8}"
         docs, nulls = read("<i8", self.n), read("<u1", self.n)
         self.doc_ids = [None if z else int(d) for d, z in zip(docs, nulls, strict=True)]
         self.counts, self.first = read("<u4", self.n), read("<u4", self.n)
-        self.sides, self.lengths, self.symbols = read("<u2", 2 * rules).reshape(-1, 2), read("<u4", rules), read("<u2", symbols)
+        self.sides, self.lengths, self.symbols = read(symbol, 2 * rules).reshape(-1, 2), read("<u4", rules), read(symbol, symbols)
         self._lengths = np.concatenate((np.ones(self.vocabulary, np.int64), self.lengths))
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -362,7 +377,7 @@ def _writer(path: str, block_ids: int):
             for b in tk.blocks(tk.string_column(batch, "text")):
                 ids, at = enc.encode(b)
                 # The end id after each document.
-                out = np.full(len(ids) + b.n, END_ID, np.uint16)
+                out = np.full(len(ids) + b.n, END_ID, enc.kind)
                 body = np.ones(len(out), np.bool_)
                 body[at[1:] + np.arange(b.n)] = False
                 out[body] = ids
