@@ -5,7 +5,9 @@ Every suffix of every benchmark item is binary-searched in every shard, which yi
 verbatim match and the places that share a whole window of words.  The array holds the suffixes that
 share their first two words with some test suffix (or the one word of a one-word item): no other can
 hold a window or a match of two words.  Sorting stops at `DEPTH` words, deeper than any window, so all
-windows are found exactly; longer matches are measured by walking on from the places found.
+windows are found exactly; longer matches are measured by walking on from the places found.  Each text's
+longest match is returned with its place in the text and in an item, and so are the runs of words that lie in
+windows.
 
 The benchmark is handed out in blocks of at most `BLOCK_WORDS` words, one pass over the documents per
 block, so what is broadcast has a fixed bound whatever the benchmark's size; a bitmap of the words hit
@@ -33,10 +35,15 @@ WINDOW = 10
 DEPTH = 12
 #: Words of benchmark items in one broadcast block: some 40 bytes each in a task.
 BLOCK_WORDS = 2_000_000
+_MATCH = ["longest", "match_word", "match_item", "match_item_word"]
 #: Bytes of text in one shard.
 SHARD_BYTES = 4 << 20
-CARRY_SCHEMA = "doc_id long, text string, hits binary, items array<string>, longest long"
-HIT_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, longest long"
+_BEST = "longest long, match_word long, match_item string, match_item_word long"
+CARRY_SCHEMA = f"doc_id long, text string, hits binary, items array<string>, {_BEST}"
+HIT_SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, {_BEST}, hit_spans array<struct<start:int,end:int>>"
+#: A text's longest match: words, first word in the text, item, first word in the item.
+Match = tuple[int, int | None, str | None, int | None]
+NO_MATCH: Match = (0, None, None, None)
 
 
 def item_words(texts: pa.Array) -> list[np.ndarray]:
@@ -62,7 +69,7 @@ class Benchmark:
         self.codes = np.concatenate((codes, np.zeros(DEPTH, np.int64)))
         lengths = np.array([len(w) for w in words], np.int64)
         self.item = np.repeat(np.arange(len(words)), lengths)
-        begin = np.cumsum(lengths) - lengths
+        begin = self.begin = np.cumsum(lengths) - lengths
         at = np.arange(self.n)
         self.left = begin[self.item] + lengths[self.item] - at  # words from here to the item's end
         width = np.minimum(lengths[self.item], WINDOW)
@@ -155,6 +162,7 @@ class Shard:
         matched = np.zeros(n, np.int64)
         window = np.zeros((2, n), np.int64)
         self.reach = np.zeros(len(self.array), np.int64)  # words that each suffix shares with any test suffix
+        self.owner = np.zeros(len(self.array), np.int64)  # and one such test suffix
         live = np.arange(n) if len(self.array) else np.zeros(0, np.int64)
         for k in range(DEPTH):
             live = live[bench.suffix[k, live] > 0]
@@ -167,15 +175,32 @@ class Shard:
             live, low, high = live[ok], low[ok], high[ok]
             lo[live], hi[live], matched[live] = low, high, k + 1
             edges = np.bincount(low, minlength=len(self.array) + 1) - np.bincount(high, minlength=len(self.array) + 1)
-            self.reach[np.cumsum(edges)[:-1] > 0] = k + 1
+            inside = np.cumsum(edges)[:-1] > 0
+            self.reach[inside] = k + 1
+            # Intervals of one depth are equal or apart: each place belongs to the last interval that begins before it.
+            first = np.full(len(self.array), -1)
+            first[low[::-1]] = live[::-1]
+            at = np.maximum.accumulate(np.where(first >= 0, np.arange(len(first)), 0))
+            self.owner[inside] = first[at[inside]]
             full = bench.width[live] == k + 1
             window[0, live[full]], window[1, live[full]] = low[full], high[full]
         return matched, lo, hi, window
 
-    def longest(self, matched: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Per text, the longest verbatim match with any item, in words (0 if under two words)."""
+    def longest(self, matched: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[Match]:
+        """Per text, the longest verbatim match with any item (the first in the text of equal ones; none if under
+        two words)."""
         out = np.zeros(self.n_texts, np.int64)
-        np.maximum.at(out, self.doc[self.array], self.reach)
+        place, who = np.zeros(self.n_texts, np.int64), np.zeros(self.n_texts, np.int64)
+
+        def take(at: np.ndarray, test: np.ndarray, words: np.ndarray) -> None:
+            order = np.lexsort((-test, -at, words))
+            at, test, words = at[order], test[order], words[order]
+            doc = self.doc[at]
+            better = (words > out[doc]) | ((words == out[doc]) & (words > 0) & (at < place[doc]))
+            at, test, words, doc = at[better], test[better], words[better], doc[better]
+            out[doc], place[doc], who[doc] = words, at, test  # of several, the last: the longest, then the first in the text, then in the items
+
+        take(self.array, self.owner, self.reach)
         deep = np.flatnonzero((matched == DEPTH) & (self.bench.left > DEPTH))
         upto = np.cumsum(hi[deep] - lo[deep])
         while len(deep):  # some millions of (suffix, place) pairs at a time, at least one suffix
@@ -188,9 +213,11 @@ class Shard:
                 test, at = test[more], at[more]
                 if not len(at):
                     break
-                np.maximum.at(out, self.doc[at], k + 1)
+                take(at, test, np.full(len(at), k + 1))
             deep, upto = deep[n:], upto[n:] - upto[n - 1]
-        return out
+        item = self.bench.item[who] if self.bench.n else who
+        word = place - self.words[:-1]
+        return [(n, w, self.bench.ids[i], int(t - self.bench.begin[i])) if n else NO_MATCH for n, w, i, t in zip(out.tolist(), word.tolist(), item.tolist(), who.tolist(), strict=True)]
 
     def windows(self, window: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
         """Which words are hit, and per text the ids of the items with an occurring window."""
@@ -217,7 +244,7 @@ class Shard:
         return np.cumsum(mark)[:-1] > 0, items
 
 
-def search_texts(texts: pa.Array, bench: Benchmark, before: list | None = None, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[np.ndarray, list[list[str]], int]]:
+def search_texts(texts: pa.Array, bench: Benchmark, before: list | None = None, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[np.ndarray, list[list[str]], Match]]:
     """Per text: which of its words are hit, ids of items with an occurring window, the longest match."""
     for b in tk.blocks(texts, shard_bytes):
         shard = Shard(b, bench)
@@ -228,7 +255,13 @@ def search_texts(texts: pa.Array, bench: Benchmark, before: list | None = None,
             own = hit[shard.words[i] : shard.words[i + 1]]
             if before is not None and before[b.first + i] is not None:
                 own = own | np.unpackbits(np.frombuffer(before[b.first + i], np.uint8), count=len(own)).astype(np.bool_)
-            yield own, items[i], int(longest[i])
+            yield own, items[i], longest[i]
+
+
+def runs(hit: np.ndarray) -> list[dict]:
+    """The runs of true words, end exclusive."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    return [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()]
 
 
 def _pass(bench_cast, first: bool, last: bool):
@@ -238,17 +271,20 @@ def _pass(bench_cast, first: bool, last: bool):
             before = None if first else tk.string_column(batch, "hits").to_pylist()
             found = list(search_texts(text, bench_cast.value, before))
             items = [x[1] for x in found]
-            longest = np.array([x[2] for x in found], np.int64)
+            best = [x[2] for x in found]
             if not first:
                 items = [a + b for a, b in zip(tk.string_column(batch, "items").to_pylist(), items, strict=True)]
-                longest = np.maximum(longest, tk.string_column(batch, "longest").to_numpy())
-            tail = [pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
+                earlier = zip(*(tk.string_column(batch, c).to_pylist() for c in _MATCH), strict=True)
+                best = [old if old[0] >= new[0] else new for old, new in zip(earlier, best, strict=True)]
+            columns = zip(*best, strict=True) if best else [()] * 4
+            tail = [pa.array(items, pa.list_(pa.string())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True))]
             if last:
                 counts = [pa.array([len(x[0]) for x in found], pa.int64()), pa.array([int(x[0].sum()) for x in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *tail], ["doc_id", "n_words", "n_hit", "items", "longest"])
+                spans = pa.array([runs(x[0]) for x in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *tail, spans], ["doc_id", "n_words", "n_hit", "items", *_MATCH, "hit_spans"])
             else:
                 hits = pa.array([np.packbits(x[0]).tobytes() for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), text, hits, *tail], ["doc_id", "text", "hits", "items", "longest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), text, hits, *tail], ["doc_id", "text", "hits", "items", *_MATCH])
 
     return run
 
@@ -272,7 +308,8 @@ def bench_blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Ben
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items and longest match of each document row, over the whole benchmark."""
+    """doc_id, n_words, n_hit, items, the longest match and its places, and the runs of words hit, of each document
+    row, over the whole benchmark."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = bench_blocks(benchmark, block_words)
@@ -285,6 +322,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
             return rows
         scratch = scratch or Scratch(spark, "decontaminate")
         rows, bench, first = scratch.put(rows, "hits"), following, False
+        cast.destroy()
 
 
 def items_digest(items) -> object:
@@ -293,18 +331,25 @@ def items_digest(items) -> object:
 
 
 def report(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document row: n_words, n_hit, n_items, items_sha256, contaminated, longest match."""
+    """One row per document row: n_words, n_hit, n_items, items_sha256, contaminated, the longest match (words, first
+    word in the text, item, first word in the item), and the runs of hit words as start:end, comma-joined."""
     found = matches(documents, benchmark, block_words)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size(F.array_distinct("items")).cast("long").alias("n_items"), items_digest(F.col("items")).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), F.col("longest").alias("longest_match"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.col("longest").alias("longest_match"), "match_word", "match_item", "match_item_word",
+        F.array_join(F.transform("hit_spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("hit_spans"),
     )
 
 
 def filter_documents(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows that no window hits, with all their columns; nothing is shuffled."""
-    spark, schema = documents.sparkSession, documents.schema
+    """The rows that no window hits, with all their columns; nothing is shuffled.  Between two blocks of the benchmark
+    the rows are written, so one block's words are held at a time."""
+    spark, schema, scratch, cast = documents.sparkSession, documents.schema, None, None
     for bench in bench_blocks(benchmark, block_words):
+        if cast is not None:
+            scratch = scratch or Scratch(spark, "decontaminate")
+            documents = scratch.put(documents, "clean")
+            cast.destroy()
         cast = spark.sparkContext.broadcast(bench)
 
         def keep(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest_match")
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +89,18 @@ dw AS (SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS p, w FROM d
 dk AS (SELECT doc_id, width, p, array_to_string(w[p : p + width - 1], ' ') AS k FROM dw),
 hit AS (SELECT doc_id, item_id, p, dk.width FROM dk JOIN win ON dk.k = win.k AND dk.width = win.width),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + width)) AS q FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id),
+spans AS (SELECT doc_id, string_agg(lo || ':' || hi, ',' ORDER BY lo) AS hit_spans FROM (SELECT doc_id, min(q) - 1 AS lo, max(q) AS hi FROM (
+  SELECT doc_id, q, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS run FROM (SELECT DISTINCT doc_id, unnest(range(p, p + width)) AS q FROM hit)) GROUP BY doc_id, run) GROUP BY doc_id),
+dword AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+bword AS (SELECT item_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM b),
+pairs AS (SELECT doc_id, item_id, size, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM dword JOIN bword USING (word)),
+runs AS (SELECT doc_id, item_id, size, count(*) AS n, min(p) - 1 AS p, min(q) - 1 AS q FROM pairs GROUP BY doc_id, item_id, size, p - q, run),
+best AS (SELECT * FROM runs WHERE n > 1 OR size = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p, item_id, q) = 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(best.n, 0)::BIGINT AS longest_match, best.p AS match_word, best.item_id::VARCHAR AS match_item, best.q AS match_item_word, coalesce(hit_spans, '') AS hit_spans
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 _OP6 = f"""
