@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
 
-#: Cells of the model, languages times n-gram buckets: 4 bytes each.
-MAX_CELLS = 1 << 22
-MAX_BITS = 16
+#: N-gram buckets of each language, 2 to this power, of 4 bytes: some hundreds of languages make some tens of megabytes.
+BITS = 16
 SMOOTHING = 0.5
 ROUNDS = 8
 #: Natural-log likelihood that one more language has to gain, times half the log of the n-grams: they overlap and depend.
@@ -80,9 +79,7 @@ def train(labelled: DataFrame) -> Model:
     """From columns lang and text: counts of all rows, summed per task before they are shuffled."""
     labelled = labelled.filter(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().toLocalIterator())
-    bits = MAX_BITS
-    while bits > 8 and len(languages) << bits > MAX_CELLS:
-        bits -= 1
+    bits = BITS
     if not languages:
         return Model([], bits, np.zeros((0, 1 << bits)))
     cells = labelled.mapInArrow(_count(languages, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
