@@ -3,12 +3,14 @@
 A group is all rows with one text; its size is the bytes of its rows plus one each.  Groups enter bins
 in decreasing size, each into the bin with the tightest remaining capacity that holds it, found in a
 balanced tree over the remaining capacities.  Groups of one size are alike, so the packing works on
-the histogram of sizes (at most sqrt(2 x total bytes) entries, and beyond `MAX_CLASSES` sizes are
-rounded up to 12 significant bits): the driver sees that histogram only.  The groups of a size are
-then numbered across the cluster and take the places that the packing has for that size.
+the histogram of sizes, and the driver sees that histogram only.  Sizes from 65,536 on are rounded up to
+16 significant bits, at every size of the table, so it has at most 32,768 entries for each doubling of the
+size beyond that.  The groups of a size are then numbered across the cluster and take the places that the
+packing has for that size.
 
-For a given number of shards the capacity is the smallest one, found by bisection, for which they
-suffice; sizes are then near equal unless one group alone is larger than an equal share.
+For a given number of shards a capacity that suffices is found by bisection, to one part in 65,536; as
+best fit is not monotone in the capacity, a smaller one that suffices by chance may exist.  Groups larger than
+an equal share have a shard each, and the others share the remaining shards evenly.
 
 Defined results: a null text counts as empty (size 1, one group with empty texts); repeated rows and
 ties are copies that stay together; slots number a shard's rows from 0 without gaps; null doc_ids
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.scratch import Scratch
 
 SHARDS = 16
-MAX_CLASSES = 500_000
+#: Significant bits of sizes, and of the capacity that is looked for.
+SIZE_BITS = 16
 #: Hash ranges in which rows of one size or shard are numbered side by side.
 LANES = 512
 
@@ -124,13 +127,13 @@ def _too_large(size: int, capacity: int):
 
 
 def smallest_capacity(histogram: list[tuple[int, int]], shards: int) -> int:
-    """The smallest capacity, by bisection, for which best-fit-decreasing needs at most `shards` bins."""
+    """A capacity for which best-fit-decreasing needs at most `shards` bins; one a step smaller does not do."""
     total = sum(s * n for s, n in histogram)
     low = max(max((s for s, _ in histogram), default=1), -(-total // shards))
     high = low
     while best_fit_decreasing(histogram, high, shards) is None:
         high += max(1, high // 64)
-    while low < high:
+    while low < high and high - low > high >> SIZE_BITS:
         mid = (low + high) // 2
         if best_fit_decreasing(histogram, mid, shards) is None:
             low = mid + 1
@@ -139,6 +142,27 @@ def smallest_capacity(histogram: list[tuple[int, int]], shards: int) -> int:
     return high
 
 
+def even_places(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """Places (as in `best_fit_decreasing`) in `shards` bins of near equal size: groups larger than an equal share of
+    what is left have a bin each, the rest enter the other bins by best fit."""
+    rest, left, total, out = dict(histogram), shards, sum(s * n for s, n in histogram), []
+    for size, count in sorted(histogram, reverse=True):
+        alone = 0
+        while alone < count and left > 1 and size * left > total:
+            out.append((size, alone, 1, shards - left))
+            alone, left, total = alone + 1, left - 1, total - size
+        if alone:
+            rest[size] -= alone
+        if alone < count:
+            break
+    rest = [(s, n) for s, n in rest.items() if n]
+    lone: dict[int, int] = {}
+    for size, *_ in out:
+        lone[size] = lone.get(size, 0) + 1
+    packed = best_fit_decreasing(rest, smallest_capacity(rest, left), left) if rest else []
+    return out + [(s, first + lone.get(s, 0), n, b + shards - left) for s, first, n, b in packed]
+
+
 def _numbered(df: DataFrame, group: str, order: list[str], lane, name: str, scratch: Scratch) -> DataFrame:
     """df with a gapless number from 0 within `group`, counted in lanes so that a large group is many tasks."""
     df = scratch.put(df.withColumn("__lane", lane), name)
@@ -151,12 +175,12 @@ def _numbered(df: DataFrame, group: str, order: list[str], lane, name: str, scra
 
 
 def _class_size(size):
-    """A size rounded up to 12 significant bits."""
-    unit = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double"))) - 11).cast("long"))
-    return F.ceil(size / unit) * unit
+    """A size rounded up to `SIZE_BITS` significant bits."""
+    unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.length(F.bin(size)) - SIZE_BITS))
+    return (F.floor((size - 1) / unit) + 1) * unit
 
 
-def pack(documents: DataFrame, shards: int = SHARDS, capacity: int | None = None, max_classes: int = MAX_CLASSES) -> DataFrame:
+def pack(documents: DataFrame, shards: int = SHARDS, capacity: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row.
 
     With `capacity` (bytes) shards are opened as needed; else `shards` are filled evenly."""
@@ -170,13 +194,10 @@ def pack(documents: DataFrame, shards: int = SHARDS, capacity: int | None = None
         ), "rows",
     )
     groups = rows.groupBy("g1", "g2", "size").agg(F.sum("size").alias("class")).select("g1", "g2", "size", "class")
-    groups = scratch.put(groups, "groups")
+    groups = scratch.put(groups.withColumn("class", _class_size(F.col("class")).cast("long")), "groups")
     histogram = groups.groupBy("class").agg(F.count("*").alias("n"))
-    if histogram.count() > max_classes:
-        groups = groups.withColumn("class", _class_size(F.col("class")).cast("long"))
-        histogram = groups.groupBy("class").agg(F.count("*").alias("n"))
     counts = [(r["class"], r["n"]) for r in histogram.toLocalIterator()]
-    places = best_fit_decreasing(counts, capacity or smallest_capacity(counts, shards), None if capacity else shards)
+    places = best_fit_decreasing(counts, capacity) if capacity else even_places(counts, shards)
     plan = pd.DataFrame(places, columns=["place_class", "first", "count", "shard"]).astype("int64")
     plan = spark.createDataFrame(plan, "place_class long, first long, count long, shard long").withColumn("shard", F.col("shard").cast("int"))
     ranked = _numbered(groups, "class", ["g1", "g2", "size"], F.pmod(F.hash("g1", "g2"), F.lit(LANES)), "rank", scratch)
