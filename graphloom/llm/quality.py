@@ -139,7 +139,8 @@ def verdicts(documents: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Data
     """One row per input row: the measures, base_failed, host_rate (null without a host) and kept."""
     scratch = Scratch(documents.sparkSession, "quality")
     measured = scratch.put(measure(documents), "measured")
-    hosts = host_rates(measured).select("host", "host_rate")
+    # Written first, so its size is known when the join is planned: it is broadcast only if that is small.
+    hosts = scratch.put(host_rates(measured).select("host", "host_rate"), "hosts")
     joined = measured.join(hosts, "host", "left")
     return (
         joined.withColumn("base_failed", base_failed())
