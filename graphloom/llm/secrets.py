@@ -1,11 +1,14 @@
 """Secret scans: assignments, access keys, hex strings, and strings with a poor token efficiency.
 
 Besides three fixed patterns, any run of 20 or more key characters that a public byte-level vocabulary
-needs many tokens for (under `MAX_CHARS_PER_TOKEN` characters a token) is taken for random, unless it is
-a known digest (hex of a digest's length), a UUID, a number, or overlaps a span found by a pattern.
-
-Defined results: a null or empty text has no spans; repeated rows are scanned each; offsets are in
-code points, ends exclusive; an empty table gives an empty result; other columns are never looked at.
+needs many tokens for (under `MAX_CHARS_PER_TOKEN` characters a token) is taken for random, unless it overlaps
+a span found by a pattern or is a known digest (hex of a digest's length, or one that names its algorithm) or
+identifier: a UUID, a number, or a run whose parts between separators are all words, words with a short
+number, or numbers of a date's length, as in slugs, paths, dates and names.
+
+Defined results: a null or empty text has no spans; repeated rows and rows without a doc_id are scanned each;
+a very long text is scanned whole; offsets are in code points, ends exclusive; an empty table gives an empty
+result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +33,15 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 6, 20, 24, 20
 MAX_CHARS_PER_TOKEN = 2.0
 #: Lengths of hex digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
+#: A digest that names its algorithm, as in package locks.
+NAMED_DIGEST = re.compile(rb"(?i:md5|sha-?(1|224|256|384|512))[-_=/:][0-9A-Za-z+/=_-]+")
+#: Parts of identifiers: words in one case, capitalised or run together, with up to four digits; numbers of up to
+#: eight digits, with the T and Z of dates.
+PART = re.compile(rb"([A-Z]?[a-z]{2,})+[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[A-Za-z]?[0-9]{1,4}|[0-9]{1,8}(T[0-9]{1,6})?Z?|[A-Za-z]")
+SEPARATORS = re.compile(rb"[-_/+=]+")
+#: A part of an identifier is no longer than this, and at least this share of the letters of its words are vowels.
+MAX_PART, MIN_VOWELS = 24, 0.2
+VOWELS = frozenset(b"aeiouyAEIOUY")
 UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX = tk.byte_class(b"0123456789abcdef")
 KEY = tk.byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
@@ -56,10 +68,15 @@ def efficiency(run: bytes, enc) -> float:
 
 
 def excluded(run: bytes) -> bool:
-    """Known digests and identifiers: numbers, UUIDs, hex of a digest's length."""
+    """Known digests and identifiers."""
     core = run.strip(b"=-_/+")
-    if not core or core.replace(b"-", b"").isdigit() or UUID.fullmatch(core):
+    parts = SEPARATORS.split(core)
+    if not core or b"".join(parts).isdigit() or UUID.search(core) or NAMED_DIGEST.fullmatch(core):
         return True
+    if len(parts) > 1 and all(len(p) <= MAX_PART and PART.fullmatch(p) for p in parts):
+        letters = b"".join(re.findall(rb"[A-Za-z]{3,}", core))
+        if sum(c in VOWELS for c in letters) >= MIN_VOWELS * len(letters):
+            return True
     return len(core) in DIGEST_LENGTHS and re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", core) is not None
 
 
