@@ -356,7 +356,7 @@ def filter_documents(documents: DataFrame, shingle: int = SHINGLE, percent: int
         return kept
     again = kept.join(twice, F.col("doc_id").cast("long") == F.col("__twice"), "left_semi")
     once = kept.join(twice, F.col("doc_id").cast("long") == F.col("__twice"), "left_anti")
-    columns = [c for c in documents.columns if c != "doc_id"]
-    order = ["text", *[c for c in columns if c != "text"]]
-    first = again.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("__row"))
-    return once.unionByName(first.select("doc_id", *[F.col("__row")[c].alias(c) for c in columns]))
+    columns = documents.columns
+    # Ordered by the text, then by the whole row as JSON, as some types (maps) have no order.
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct("text", F.to_json(F.struct(*columns)))).alias("__row"))
+    return once.unionByName(first.select(*[F.col("__row")[c].alias(c) for c in columns]))

@@ -10,13 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[str] = []
+_open: list[Scratch] = []
+
+
+def mark() -> int:
+    """A mark for `sweep`: the number of calls whose tables are still there."""
+    return len(_open)
+
+
+def sweep(since: int) -> None:
+    """Remove the tables of all calls since a mark, once nothing reads them any more: their results are lazy, so only
+    the caller knows when that is."""
+    for s in _open[since:]:
+        s.remove(s.root)
+    del _open[since:]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or the one given to the context; where there is none and all runs in one
+    process (tests), a temporary one of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="graphloom-"))
         atexit.register(_remove_local, _own[0])
@@ -36,6 +53,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _open.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("graphloom.llm")
 import public_tokenizers  # noqa: E402
@@ -134,7 +135,11 @@ def test_decontamination_against_brute_force(spark, block_words):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     docs = frame(spark, contaminated_corpus(), True).repartition(2)
     got = decontaminate.report(docs, bench, block_words)
-    assert rows_of(got.drop("longest_match")) == sorted(want, key=repr)
+    assert rows_of(got.select(*got.columns[:6])) == sorted(want, key=repr)
+    runs = {r["doc_id"]: [tuple(map(int, x.split(":"))) for x in r["hit_spans"].split(",") if x] for r in got.filter("doc_id >= 9000").collect()}
+    assert runs[9001] == [(2, 14)] and runs[9003] == [] and all(sum(b - a for a, b in x) == n for d, _, n, *_ in want for x in [runs.get(d)] if x is not None)
+    places = {r["doc_id"]: (r["longest_match"], r["match_word"], r["match_item"], r["match_item_word"]) for r in got.collect()}
+    assert places[9001] == (12, 2, "1", 0) and places[9003] == (9, 0, "1", 0) and places[0] == (0, None, None, None)
     clean = decontaminate.filter_documents(docs, bench, block_words)
     assert sorted(r["doc_id"] or -1 for r in clean.collect()) == sorted(d or -1 for d, *_, c in want if not c)
 
@@ -143,7 +148,32 @@ def test_longest_match_walks_beyond_the_sorted_depth():
     w = [f"q{i}" for i in range(40)]
     bench = decontaminate.Benchmark(["a"], decontaminate.item_words(pa.array([" ".join(w)])))
     texts = pa.array([" ".join(["z", *w[5:35], "z"]), " ".join(w[:3]), "nothing here", " ".join(w)])
-    assert [x[2] for x in decontaminate.search_texts(texts, bench)] == [30, 3, 0, 40]
+    assert [x[2] for x in decontaminate.search_texts(texts, bench)] == [(30, 1, "a", 5), (3, 0, "a", 0), decontaminate.NO_MATCH, (40, 0, "a", 0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_match_against_brute_force(seed):
+    """Items that share passages and repeat themselves, in few words, so that ties are many."""
+    r = random.Random(seed)
+    prose = lambda n: [r.choice("abcd") for _ in range(n)]
+    items = [prose(r.randint(1, 30)) for _ in range(6)]
+    items[3] = items[0] + items[1]
+    texts = [prose(r.randint(0, 60)) + r.choice(items) + prose(3) for _ in range(20)]
+    bench = decontaminate.Benchmark([str(i) for i in range(6)], decontaminate.item_words(pa.array([" ".join(x) for x in items])))
+
+    def brute(w):
+        found = []
+        for p in range(len(w)):
+            for i, item in enumerate(items):
+                for q in range(len(item)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(item) and w[p + n] == item[q + n]:
+                        n += 1
+                    if n > 1 or (n and len(item) == 1):
+                        found.append((-n, p, i, q))
+        return (-min(found)[0], min(found)[1], str(min(found)[2]), min(found)[3]) if found else decontaminate.NO_MATCH
+
+    assert [x[2] for x in decontaminate.search_texts(pa.array([" ".join(w) for w in texts]), bench)] == [brute(w) for w in texts]
 
 
 def brute_components(rows, k):
@@ -310,10 +340,40 @@ def test_packing_groups_slots_and_balance(spark, docs):
             assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw)
     assert all(len(x) == 1 for x in shards.values())
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-    biggest = max(len((t or "").encode()) + 1 for _, t, *_ in corpus())
-    assert max(sizes.values()) == max(biggest, max(sizes.values())) and len(sizes) <= 4
-    coarse = packing.pack(docs, 4, max_classes=3).collect()
-    assert len(coarse) == len(got) and all(len({r["shard"] for r in coarse if r["text_crc32"] == c}) == 1 for c, _ in shards)
+    groups = Counter()
+    for _, t, *_ in corpus():
+        groups[t or ""] += len((t or "").encode()) + 1
+    # The largest group is more than an equal share: it has a shard to itself, and the rest is near equal.
+    first, *rest = sorted(sizes.values(), reverse=True)
+    assert first == max(groups.values()) and len(sizes) == 4 and max(rest) - min(rest) <= 2 + max(rest) // 200
+
+
+def test_packing_against_brute_force(spark):
+    """The whole query on random groups: the shards that best fit in decreasing order makes of the group sizes."""
+    r = random.Random(11)
+    texts = [f"{i}:" + "x" * r.choice([3, 17, 17, 40, 90, 300]) for i in range(60)]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(t for t in texts for _ in range(r.choice([1, 1, 2, 5])))]
+    groups = Counter(t for _, t, *_ in rows)
+    sizes = {t: n * (len(t) + 1) for t, n in groups.items()}
+    capacity = packing.smallest_capacity(list(Counter(sizes.values()).items()), 5)
+    bins: list[int] = []
+    for s in sorted(sizes.values(), reverse=True):
+        fit = [(left, b) for b, left in enumerate(bins) if left >= s]
+        if not fit:
+            bins.append(capacity)
+        _, b = min(fit) if fit else (0, len(bins) - 1)
+        bins[b] -= s
+    got = packing.pack(frame(spark, rows), 5).collect()
+    made = Counter()
+    for x in got:
+        made[x["shard"]] += x["size"]
+    assert sorted(made.values()) == sorted(capacity - left for left in bins) and len(bins) == 5
+    assert capacity <= -(-sum(sizes.values()) // 5) * 1.02
+
+
+def test_packing_rounds_large_sizes_alike(spark):
+    row = spark.createDataFrame([(1,), (65_535,), (65_536,), (65_537,), (1_000_003,), (1 << 40,)], "n long").select(packing._class_size(F.col("n")).alias("c")).collect()
+    assert [r["c"] for r in row] == [1, 65_535, 65_536, 65_538, 1_000_016, 1 << 40]
 
 
 def test_best_fit_decreasing_is_the_textbook_rule():
@@ -356,6 +416,97 @@ def test_license_base_and_labels(spark):
     assert [(r["first_word"], r["last_word"]) for r in span] == [(40, 47)]
 
 
+def brute_labels(text: str | None, k: int = licenses.K) -> set[str]:
+    """Diagonal voting in plain Python: grams as tuples of words, one template after another."""
+    w, found = ALNUM.findall((text or "").translate(ASCII_LOWER)), set()
+    for label, template in licenses.TEMPLATES:
+        t = ALNUM.findall(template.translate(ASCII_LOWER))
+        hits: dict[int, list] = {}
+        for p in range(len(w) - k + 1):
+            for q in range(len(t) - k + 1):
+                if w[p : p + k] == t[q : q + k]:
+                    hits.setdefault(p - q, []).append((p, q))
+        gap, groups = min(licenses.GAP, len(t) // licenses.WORDS_PER_GAP), []
+        for d in sorted(hits):
+            if groups and d - groups[-1][0] <= gap:
+                groups[-1] = (d, groups[-1][1] + hits[d])
+            else:
+                groups.append((d, hits[d]))
+        for _, places in groups:
+            covered = {q + j for _, q in places for j in range(k)}
+            width = max(p for p, _ in places) + k - min(p for p, _ in places)
+            if len(covered) >= (licenses.MIN_COVER if len(t) >= licenses.WORDS_PER_GAP else 1) * len(t) and width <= max(licenses.MAX_STRETCH * len(t), len(t) + 2 * licenses.GAP):
+                found.add(label)
+    return found
+
+
+def test_license_labels_against_brute_force(spark):
+    """Templates whole, with words changed, left out and put in, between other words; rows that repeat, share a doc_id or
+    have none; a very long text; near misses: another Creative Commons license, a third of a notice."""
+    r = random.Random(4)
+    noise = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
+    texts = [t for _, t in licenses.TEMPLATES]
+    for _, t in licenses.TEMPLATES:
+        for _ in range(3):
+            w = t.split()
+            for _ in range(r.randint(0, 1 + len(w) // 12)):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice([[], [r.choice(VOCAB)], [w[at], r.choice(VOCAB)]])
+            texts.append(noise(r.randint(0, 40)) + " " + " ".join(w) + "\n" + noise(r.randint(0, 40)))
+        texts.append(" ".join(t.split()[: len(t.split()) // 3]))
+    texts += [noise(30_000) + " " + licenses.TEMPLATES[2][1] + noise(50), None, "", licenses.TEMPLATES[0][1] * 3]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [(1, "Licensed under CC BY-NC 4.0.", "en", "s", 0), (1, "nothing here at all", "en", "s", 0), (None, "Licensed under CC BY 4.0.", "en", "s", 0), (None, "nothing here", "en", "s", 0), rows[0], rows[0]]
+    got = licenses.scan(frame(spark, rows, True).repartition(3)).select("doc_id", "n_words", "base_labels", "labels", "score").collect()
+    want = []
+    for d, t, *_ in rows:
+        w, low = ALNUM.findall((t or "").translate(ASCII_LOWER)), " " + " ".join(ALNUM.findall((t or "").translate(ASCII_LOWER))) + " "
+        base = {x for p, x in licenses.PHRASES if f" {p} " in low}
+        own = brute_labels(t)
+        want.append((d, len(w), ",".join(sorted(base)), ",".join(sorted(base | own)), bool(own)))
+    assert sorted(((*x[:4], x["score"] > 0) for x in got), key=repr) == sorted(want, key=repr)
+    by = {t: brute_labels(t) for _, t in licenses.TEMPLATES}
+    assert all(label in by[t] for label, t in licenses.TEMPLATES) and by["Licensed under CC BY-NC 4.0."] == {"cc-by-nc"}
+    assert all(len(x) == 1 for t, x in by.items() if "Creative Commons" in t)
+
+
+def test_random_strings_are_found_and_identifiers_left_alone():
+    """Recall on random strings, and false alarms on identifiers, digests and plain words."""
+    import base64
+    import string
+
+    r = random.Random(12)
+    enc = secrets.encoding(RANKS, public_tokenizers.PATTERN)
+    flagged = lambda s: any(k == 3 for *_, k in secrets.scan_block(next(tk.blocks(pa.array([f"x {s} y"]))), enc)[0])
+    alnum = string.ascii_letters + string.digits
+    kinds = {
+        "base62": lambda: "".join(r.choice(alnum) for _ in range(r.randint(24, 48))), "base64": lambda: base64.b64encode(r.randbytes(r.randint(18, 40))).decode(), "urlsafe": lambda: base64.urlsafe_b64encode(r.randbytes(30)).decode(),
+        "base32": lambda: base64.b32encode(r.randbytes(20)).decode(),
+    }
+    for kind, make in kinds.items():
+        found = sum(flagged(make()) for _ in range(300)) / 300
+        assert found >= 0.97, (kind, found)
+    words = "this is a very long url slug for page the user profile image upload handler config value test data model train index search query result total count first last name email address street city".split()
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    plain = {
+        "slug": lambda: "-".join(some(8)), "snake": lambda: "_".join(some(5)), "path": lambda: "/usr/local/lib/python3/" + "/".join(some(4)), "date": lambda: "/".join(f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}" for _ in range(3)),
+        "constant": lambda: "_".join(some(5)).upper(), "camel": lambda: "".join(w.title() for w in some(6)), "md5": lambda: hashlib.md5(r.randbytes(9)).hexdigest().upper(), "sri": lambda: "sha512-" + base64.b64encode(r.randbytes(64)).decode(),
+        "stamp": lambda: f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}Z", "uuid": lambda: "id-" + "-".join(r.randbytes(n).hex().upper() for n in (4, 2, 2, 2, 6)), "rule": lambda: "=" * 40, "digits": lambda: "".join(r.choice("0123456789") for _ in range(30)),
+    }
+    for kind, make in plain.items():
+        false = sum(flagged(make()) for _ in range(200)) / 200
+        assert false <= 0.01, (kind, false)
+    assert not flagged("this-is-a-very-long-url-slug-for-a-page") and not flagged("2024-01-01/2024-02-02/2024-03")
+
+
+def test_secret_scan_of_repeated_rows_null_ids_and_a_long_text(spark):
+    secret = "q7Xz9LmP2vRt8KwY4nBc6JdF1hGs"
+    rows = [(1, secret, "en", "s", 0), (1, secret, "en", "s", 0), (None, secret, "en", "s", 0), (1, "nothing", "en", "s", 0), (2, "é word " * 300_000 + secret, "en", "s", 0), (3, "a" * 3_000_000, "en", "s", 0)]
+    got = [(r["doc_id"], r["spans"]) for r in secrets.scan(frame(spark, rows), RANKS, public_tokenizers.PATTERN).collect()]
+    whole = f"random:0:{len(secret)}"
+    assert sorted((x for x in got if x[0] != 3), key=repr) == sorted([(1, whole), (1, whole), (None, whole), (1, ""), (2, f"random:2100000:{2100000 + len(secret)}")], key=repr)
+
+
 def test_secret_scan_against_brute_force(spark):
     hexes = hashlib.sha1(b"x").hexdigest()
     texts = [
@@ -394,6 +545,60 @@ def test_language_mixture(spark):
     assert langmix.predict(frame(spark, rows[:2]), langmix.train(frame(spark, rows).filter("false"))).first()["lang_pred"] == "und"
 
 
+def test_mixture_against_plain_em():
+    """Shares, sets of languages and posteriors against expectation-maximisation in plain Python."""
+    r = np.random.default_rng(3)
+    at, rows = [0], []
+    p = r.dirichlet(np.full(40, 0.3), 3).T + 1e-4
+    for share in ([1, 0, 0], [0.5, 0.5, 0], [0.3, 0.3, 0.4], [0, 0.05, 0.95], [0, 0, 1]):
+        n = r.multinomial(300, (p @ np.array(share)) / (p @ np.array(share)).sum())
+        rows.append([(g, c) for g, c in enumerate(n.tolist()) if c])
+        at.append(at[-1] + len(rows[-1]))
+
+    def em(doc, allowed):
+        share = {k: 1 / len(allowed) for k in allowed}
+        for _ in range(langmix.ROUNDS):
+            total = dict.fromkeys(allowed, 0.0)
+            for g, c in doc:
+                whole = sum(p[g, k] * share[k] for k in allowed)
+                for k in allowed:
+                    total[k] += c * p[g, k] * share[k] / whole
+            share = {k: v / sum(c for _, c in doc) for k, v in total.items()}
+        return share, sum(c * math.log(sum(p[g, k] * share[k] for k in allowed)) for g, c in doc)
+
+    def brute(doc):
+        unit = langmix.PENALTY * 0.5 * math.log(sum(c for _, c in doc))
+        single = [sum(c * math.log(p[g, k]) for g, c in doc) for k in range(3)]
+        share, like = em(doc, [0, 1, 2])
+        if like - max(single) <= unit:
+            return {int(np.argmax(single)): 1.0}
+        value = like - 2 * unit
+        while len(share) > 1:
+            fewer = [k for k in share if k != min(share, key=lambda k: (share[k], k))]
+            s, like = em(doc, fewer)
+            if like - unit * (len(fewer) - 1) < value:
+                break
+            share, value = s, like - unit * (len(fewer) - 1)
+        return share
+
+    flat = [x for doc in rows for x in doc]
+    chosen, posterior = langmix.infer(p[[g for g, _ in flat]], np.array([c for _, c in flat], np.float64), np.array(at))
+    for doc, got, sure in zip(rows, chosen, posterior, strict=True):
+        want = brute(doc)
+        assert {k: pytest.approx(v, abs=1e-6) for k, v in want.items()} == {k: v for k, v in enumerate(got) if v > 0}
+        like = [sum(c * math.log(p[g, k]) for g, c in doc) for k in range(3)]
+        assert sure == pytest.approx(1 / sum(math.exp(x - max(like)) for x in like), rel=1e-6)
+    assert [(x > 0).sum() for x in chosen][:3] == [1, 2, 3]
+
+
+def test_language_of_repeated_rows_and_a_very_long_text(spark):
+    words = {"en": "the and with house", "de": "der und mit haus"}
+    rows = [(i, words["en" if i % 2 else "de"] * 20, "en" if i % 2 else "de", "s", 0) for i in range(40)]
+    model = langmix.train(frame(spark, rows))
+    asked = [(1, words["de"] * 100_000, None, "s", 0), (2, words["en"], None, "s", 0), (2, words["en"], None, "s", 0)]
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in langmix.predict(frame(spark, asked), model).collect()) == [(1, "de"), (2, "en"), (2, "en")]
+
+
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -438,6 +643,17 @@ def test_repair_is_lossless_with_random_access():
     assert len(symbols) < 5000 / 2 and len(sides) and lengths.max() > 2
 
 
+def test_repair_of_a_large_vocabulary_and_until_nothing_is_frequent():
+    r = np.random.default_rng(9)
+    ids = np.tile(r.integers(0, 200_000, 40).astype(np.uint32), 50)
+    sides, lengths, symbols, first = tokenbin.repair(ids, np.array([0, len(ids)]), 200_000, 0)
+    block = tokenbin.TokenBlock(tokenbin.pack_block([7], np.array([len(ids)]), sides, lengths, symbols, first, 200_000))
+    assert np.array_equal(block.ids(0), ids) and symbols.dtype == np.uint32 and len(symbols) < 12 and lengths.max() >= 300
+    # Whole texts repeated: rounds go on while one still shortens the block.
+    small = np.tile(np.arange(64, dtype=np.uint16), 1000)
+    assert len(tokenbin.repair(small, np.array([0, len(small)]), 50_257)[2]) < 40
+
+
 def lattices(text: str, p: segment.Pieces) -> list[tuple]:
     """Length, edges by end and forward sums of each unit of a text, in plain Python."""
     piece = {p.bytes[i]: (i, w) for i, w in zip(p.ids.tolist(), p.weight.tolist(), strict=True)}
