@@ -55,6 +55,31 @@ _WIDE_BEFORE = tk.byte_class([0xC2, 0x80, 0x81, 0x9A])
 _ASCII_SPACE = tk.byte_class([*range(0x09, 0x0E), *range(0x1C, 0x21)])
 
 
+class Spans:
+    """Spans of values, added one batch after another: span i is flat[at[i] : at[i] + size[i]]."""
+
+    def __init__(self, kind):
+        self._room = np.zeros(1 << 12, kind)
+        self.at, self.size, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._room[: self.n]
+
+    def words(self) -> np.ndarray:
+        """Of bytes, the eight from each place on as one number."""
+        return np.ndarray((self.n + 1,), "<u8", self._room, strides=(1,))
+
+    def add(self, values: np.ndarray, sizes: list[int]) -> None:
+        size = np.array(sizes, np.int64)
+        if self.n + len(values) + 8 > len(self._room):
+            self._room = np.concatenate((self.flat, np.zeros(self.n + len(values) + (1 << 12), self._room.dtype)))
+        self._room[self.n : self.n + len(values)] = values
+        self.at = np.concatenate((self.at, self.n + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.n += len(values)
+
+
 class Encoder:
     """Encodes texts with a `tokenizers` file, distinct pieces once per process."""
 
@@ -69,13 +94,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """An empty store: hashes of pieces in order, where their ids begin, ids; and where their bytes begin, bytes."""
-        self.hashes = np.zeros(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, self.kind)
-        self.raw_at = np.zeros(0, np.int64)
-        self.raw_size = np.zeros(0, np.int64)
-        self.words = tk.word_view(np.zeros(0, np.uint8))
+        """An empty store: hashes in order and which piece each is of, and per piece its ids and bytes."""
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.raw = Spans(self.kind), Spans(np.uint8)
 
     def pieces(self, b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of a block's pieces, and their offsets per text."""
@@ -109,10 +130,10 @@ class Encoder:
             flat = b.raw.tobytes()
             self._learn(h[new], [flat[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             slot = self._known(h)
-        n, at, store = (self.at[1:] - self.at[:-1])[slot], self.at[slot], self.ids
+        n, at, store = self.ids.size[slot], self.ids.at[slot], self.ids.flat
         # A piece whose hash another piece has in the store is encoded by itself.
-        own = self.raw_size[slot] == ends - starts
-        own[own] = tk.equal_spans(b.words(), starts[own], self.words, self.raw_at[slot[own]], (ends - starts)[own])
+        own = self.raw.size[slot] == ends - starts
+        own[own] = tk.equal_spans(b.words(), starts[own], self.raw.words(), self.raw.at[slot[own]], (ends - starts)[own])
         for i in np.flatnonzero(~own).tolist():
             ids = self._ids(b.raw[starts[i] : ends[i]].tobytes())
             n[i], at[i] = len(ids), len(store)
@@ -125,30 +146,20 @@ class Encoder:
         return ids, to[per_text]
 
     def _known(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece with each hash, -1 if there is none."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[slot] == h, slot, -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.slots[at], -1)
 
     def _learn(self, h: np.ndarray, texts: list[bytes]) -> None:
-        """Add pieces that are not in the store yet."""
+        """Add pieces that are not in the store yet; their hashes are in order."""
+        at = np.searchsorted(self.hashes, h)
+        self.slots = np.insert(self.slots, at, len(self.hashes) + np.arange(len(h)))
+        self.hashes = np.insert(self.hashes, at, h)
         got = [self._ids(t) for t in texts]
-        n = np.array([len(x) for x in got], np.int64)
-        flat = np.array([i for x in got for i in x], self.kind)
-        hashes = np.concatenate((self.hashes, h))
-        start = np.concatenate((self.at[:-1], len(self.ids) + np.cumsum(n) - n))
-        size = np.concatenate((np.diff(self.at), n))
-        ids = np.concatenate((self.ids, flat))
-        order = np.argsort(hashes, kind="stable")
-        size = size[order]
-        at = np.concatenate(([0], np.cumsum(size)))
-        self.ids = ids[np.repeat(start[order] - at[:-1], size) + np.arange(at[-1])]
-        self.hashes, self.at = hashes[order], at
-        size = np.array([len(t) for t in texts], np.int64)
-        held = self.words.base[:-8]
-        self.raw_at = np.concatenate((self.raw_at, len(held) + np.cumsum(size) - size))[order]
-        self.raw_size = np.concatenate((self.raw_size, size))[order]
-        self.words = tk.word_view(np.concatenate((held, np.frombuffer(b"".join(texts), np.uint8))))
+        self.ids.add(np.array([i for x in got for i in x], self.kind), [len(x) for x in got])
+        self.raw.add(np.frombuffer(b"".join(texts), np.uint8), [len(t) for t in texts])
 
     def _ids(self, piece: bytes) -> list[int]:
         """A piece of one blank at most and letters only is one pre-token: the model encodes it at once."""
@@ -238,19 +249,18 @@ def _counts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lookup(pair: np.ndarray, best_first: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """For each place the rank of its pair: the number of chosen pairs for the best, 1 for the last, 0 for none."""
+    """For each place the rank of its pair: the number of chosen pairs for the best, 1 for the last, 0 for none.
+
+    Ranks are kept in a table by a hash of the pair; of pairs in one cell the best stays, the others wait for a later
+    round."""
     bits = 18
     kind, whole = pair.dtype.type, 8 * pair.dtype.itemsize
     hashed = lambda x: (x * kind(0x9E3779B97F4A7C15 >> (64 - whole) | 1)) >> kind(whole - bits)
-    maybe = np.zeros(1 << bits, np.bool_)
-    maybe[hashed(best_first)] = True
-    at = np.flatnonzero(maybe[hashed(pair)] & inner)
-    order = np.argsort(best_first)
-    keys = best_first[order]
-    slot = np.minimum(np.searchsorted(keys, pair[at]), len(keys) - 1)
-    ok = keys[slot] == pair[at]
-    rank = np.zeros(len(pair), np.int32)
-    rank[at[ok]] = len(keys) - order[slot[ok]]
+    worst_first = best_first[::-1]
+    table = np.zeros(1 << bits, np.int32)
+    table[hashed(worst_first)] = np.arange(1, len(worst_first) + 1, dtype=np.int32)
+    rank = table[hashed(pair)]
+    rank[~inner | (np.concatenate((worst_first[:1], worst_first))[rank] != pair)] = 0
     return rank
 
 
