@@ -40,10 +40,10 @@ from graphloom.llm.scratch import Scratch
 END_ID = 0
 MAGIC = b"GLRP"
 BLOCK_IDS = 1 << 20
-#: A pair is worth a rule from this many places on.
-LEAST_USES = 4
+#: A pair is frequent from this many places on: a rule takes the room of four symbols, and rules are few.
+LEAST_USES = 8
 #: A round that would save less than this part of the symbols is not done.
-LEAST_GAIN = 0.002
+LEAST_GAIN = 0.004
 #: Rules that 16-bit symbols must have room for; else they have 32 bits.
 LEAST_ROOM = 4096
 #: Distinct pieces that a process keeps: about 50 bytes each.
@@ -101,15 +101,13 @@ class Encoder:
     def pieces(self, b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of a block's pieces, and their offsets per text."""
         raw = b.raw
-        cut = BLANK[raw]
-        before = np.zeros(len(raw), np.bool_)
-        if len(raw) > 1:
-            before[1:] = ~_ASCII_SPACE[raw[:-1]]
-        if len(raw) > 2:
-            before[2:] &= ~(_WIDE_LAST[raw[1:-1]] & _WIDE_BEFORE[raw[:-2]])
-        cut &= before
-        edge = b.at[:-1][np.diff(b.at) > 0]
-        cut[edge] = True
+        blank = np.flatnonzero(BLANK[raw])
+        blank = blank[blank > 0]
+        last = raw[blank - 1]
+        blank = blank[~(_ASCII_SPACE[last] | (_WIDE_LAST[last] & _WIDE_BEFORE[raw[blank - 2]] & (blank > 1)))]
+        cut = np.zeros(len(raw), np.bool_)
+        cut[blank] = True
+        cut[b.at[:-1][np.diff(b.at) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
         return starts, ends, np.searchsorted(starts, b.at)
@@ -222,7 +220,7 @@ def repair(ids: np.ndarray, at: np.ndarray, vocabulary: int, least_gain: float |
         take[:-1] &= rank[:-1] >= rank[1:]
         place = np.flatnonzero(take)
         used = np.bincount(rank[place], minlength=len(good) + 1)
-        worth = used >= 3
+        worth = used >= LEAST_USES
         worth[0] = False
         place = place[worth[rank[place]]]
         if not len(place) or len(place) < least_gain * len(seq):

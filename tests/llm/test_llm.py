@@ -648,7 +648,7 @@ def test_repair_of_a_large_vocabulary_and_until_nothing_is_frequent():
     ids = np.tile(r.integers(0, 200_000, 40).astype(np.uint32), 50)
     sides, lengths, symbols, first = tokenbin.repair(ids, np.array([0, len(ids)]), 200_000, 0)
     block = tokenbin.TokenBlock(tokenbin.pack_block([7], np.array([len(ids)]), sides, lengths, symbols, first, 200_000))
-    assert np.array_equal(block.ids(0), ids) and symbols.dtype == np.uint32 and len(symbols) < 12 and lengths.max() >= 300
+    assert np.array_equal(block.ids(0), ids) and symbols.dtype == np.uint32 and len(symbols) < 14 and lengths.max() >= 160
     # Whole texts repeated: rounds go on while one still shortens the block.
     small = np.tile(np.arange(64, dtype=np.uint16), 1000)
     assert len(tokenbin.repair(small, np.array([0, len(small)]), 50_257)[2]) < 40
