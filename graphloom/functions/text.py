@@ -201,6 +201,30 @@ def turns_by_symbols(turns: DataFrame, names: list[str], excluded: str | None =
     return out.orderBy(F.desc("timestamp"), "session_id").limit(limit)
 
 
+def turns_by_files(turns: DataFrame, paths: list[str], excluded: str | None = None, limit: int = 10) -> DataFrame:
+    """The newest turns that touched one of some files, not of the session left out; turns: ..., files_touched."""
+    out = turns.filter(F.arrays_overlap("files_touched", F.array(*map(F.lit, paths)).cast("array<string>")))
+    if excluded:
+        out = out.filter(F.col("session_id") != excluded)
+    return out.orderBy(F.desc("timestamp"), "session_id").limit(limit)
+
+
+def format_duration(ms: Column) -> Column:
+    """Milliseconds as ms, seconds, or minutes and seconds."""
+    seconds = F.floor(ms / 1000)
+    return F.when(ms < 1000, F.format_string("%dms", ms.cast("long"))).when(ms < 60_000, F.format_string("%.1fs", ms / 1000.0)).otherwise(F.format_string("%dm %ds", F.floor(seconds / 60), seconds % 60))
+
+
+def format_percent(part: Column, whole: Column) -> Column:
+    """A share in whole percent, 0% of nothing."""
+    return F.when(whole == 0, "0%").otherwise(F.format_string("%d%%", F.round(100.0 * part / whole).cast("long")))
+
+
+def cdata(text: Column) -> Column:
+    """A CDATA section; an end mark in the text is split over two."""
+    return F.concat(F.lit("<![CDATA["), F.replace(text, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
+
+
 def _q(f):
     return lambda spark, sf_dir: f(Graph(spark, sf_dir))
 
@@ -234,6 +258,14 @@ QUERIES = {
     "knowledge_by_symbols": _q(lambda g: turns_by_symbols(g.turns, ["part:5", "part:18"], "0").select("session_id", "turn_number")),
 }
 
+QUERIES |= {
+    "knowledge_by_files": _q(lambda g: turns_by_files(g.turns.withColumn("files_touched", F.array(F.concat(F.lit("Brand#"), (_c("turn_number") * 7 % 25 + 1).cast("string"), F.lit("/SMALL")))), ["Brand#8/SMALL", "Brand#15/SMALL"], "3").select("session_id", "turn_number")),
+    "fn_format_duration": _q(lambda g: g.symbols.select("qualified_name", format_duration(_c("complexity") * _c("start_line") * 37).alias("t"))),
+    "fn_format_percent": _q(lambda g: g.symbols.select("qualified_name", format_percent(_c("complexity"), _c("start_line") % 7 * 13).alias("p"))),
+    "fn_cdata": _q(lambda g: g.documents.select("doc_id", cdata(F.concat("text", F.lit("]]>x"))).alias("x"))),
+    "fn_diff_stats": _q(lambda g: g.modifies.select("sha", "path", diff_stats(F.concat(F.lit("--- a/x\n+++ b/"), "path", F.lit("\n"), F.repeat(F.lit("+n\n"), (_c("insertions") % 9).cast("int")), F.repeat(F.lit("-o\n"), (_c("deletions") % 5).cast("int")))).alias("d")).select("sha", "path", "d.added", "d.removed", "d.files")),
+}
+
 _EXT = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSIONS.items()) + " ELSE {} END"
 ORACLES = {k: twin(v) for k, v in {
     "fn_paths": "SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS base, '.md' AS ext, 'markdown' AS language FROM docs",
@@ -261,5 +293,10 @@ ORACLES = {k: twin(v) for k, v in {
     "knowledge_search": "SELECT session_id, turn_number FROM turns WHERE contains(lower(summary), 'part:11') OR len(list_filter(symbols_referenced, lambda x: contains(lower(x), 'part:11'))) > 0 ORDER BY timestamp DESC, session_id LIMIT 10",
     "knowledge_list": "SELECT session_id, turn_number FROM turns WHERE concern = 'assistant' ORDER BY timestamp DESC, session_id LIMIT 20",
     "knowledge_show": "SELECT turn_number, concern, summary FROM turns WHERE session_id = '3'",
+    "knowledge_by_files": "SELECT session_id, turn_number FROM turns WHERE turn_number * 7 % 25 + 1 IN (8, 15) AND session_id <> '3' ORDER BY timestamp DESC, session_id LIMIT 10",
+    "fn_format_duration": "SELECT qualified_name, CASE WHEN m < 1000 THEN m || 'ms' WHEN m < 60000 THEN printf('%.1fs', m / 1000) ELSE (m // 60000) || 'm ' || (m // 1000 % 60) || 's' END AS t FROM (SELECT qualified_name, complexity * start_line * 37 AS m FROM symbols)",
+    "fn_format_percent": "SELECT qualified_name, CASE WHEN w = 0 THEN '0%' ELSE round(100.0::DOUBLE * complexity / w)::BIGINT || '%' END AS p FROM (SELECT *, start_line % 7 * 13 AS w FROM symbols)",
+    "fn_cdata": "SELECT doc_id, '<![CDATA[' || replace(text || ']]>x', ']]>', ']]]]><![CDATA[>') || ']]>' AS x FROM docs",
+    "fn_diff_stats": "SELECT sha, path, (insertions % 9)::INT AS added, (deletions % 5)::INT AS removed, 1::INT AS files FROM modifies",
     "knowledge_by_symbols": "SELECT session_id, turn_number FROM turns WHERE list_has_any(symbols_referenced, ['part:5', 'part:18']) AND session_id <> '0' ORDER BY timestamp DESC, session_id LIMIT 10",
 }.items()}

@@ -187,6 +187,18 @@ def connected_directly(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.agg(F.coalesce(F.bool_or(((F.col("src") == a) & (F.col("dst") == b)) | ((F.col("src") == b) & (F.col("dst") == a))), F.lit(False)).alias("direct"))
 
 
+def bridge(edges: DataFrame, a: str, b: str, depth: int = 6, limit: int = 5) -> DataFrame:
+    """The first `limit` undirected ways of up to `depth` edges between two nodes, and whether an edge joins them: path,
+    types of its edges (the smallest of several), length, direct, explanation."""
+    ways = all_paths(edges, a, b, depth, limit)
+    types = undirected(edges).groupBy("src", "dst").agg(F.min("type").alias("type"))
+    steps = ways.select("path", "length", F.split("path", ">").alias("n")).select("path", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("n") - 1), lambda i: F.struct(F.get("n", i - 1).alias("src"), F.get("n", i).alias("dst")))).alias("at", "s"))
+    named = steps.join(types, (F.col("s.src") == F.col("src")) & (F.col("s.dst") == F.col("dst"))).groupBy("path", "length").agg(F.array_sort(F.collect_list(F.struct("at", "type"))).alias("t"))
+    kinds = F.array_join(F.transform("t", lambda x: x["type"]), ",")
+    text = F.concat(F.lit(f"{a} reaches {b} by "), kinds, F.lit(" in "), F.col("length").cast("string"), F.when(F.col("length") == 1, " step").otherwise(" steps"))
+    return named.join(connected_directly(edges, a, b)).select("path", kinds.alias("types"), "length", "direct", text.alias("explanation"))
+
+
 def modules(files: DataFrame) -> DataFrame:
     """Top directories of files that are in one."""
     return files.filter(F.col("path").contains("/")).select(F.split("path", "/")[0].alias("module")).distinct().orderBy("module")
@@ -229,6 +241,7 @@ QUERIES = {
     "neighborhood_by_distance": _q(lambda g: neighborhood(typed_edges(g), _busiest(g), 3, None).groupBy("distance", "relationship").agg(F.count("*").alias("n"))),
     "impact": _q(lambda g: impact(g.symbols, g.calls, g.inherits, "part:5")),
     "bridge_direct": _q(lambda g: connected_directly(typed_edges(g), "part:5", "part:6")),
+    "bridge": _q(lambda g: bridge(typed_edges(g), _busiest(g), _far(g))),
     "cycles_calls": _q(lambda g: cycles(g.calls, 5, 50)),
     "cycles_imports": _q(lambda g: cycles(g.imports, 4, 10)),
     "dead_code": _q(lambda g: dead_code(g.symbols, g.calls, ["main", "init", "__init__", "constructor"]), "qualified_name", "name", "file"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["operators.lookup", "operators.joins", "operators.aggregates", "operators.windows", "operators.paths", "operators.vectors", "operators.hybrid", "operators.upsert", "functions.text", "operators.knowledge", "operators.models", "operators.context", "functions.markdown", "functions.parsers", "streaming.events", "sources.portable"]
+MODULES = ["operators.lookup", "operators.joins", "operators.aggregates", "operators.windows", "operators.paths", "operators.vectors", "operators.hybrid", "operators.upsert", "functions.text", "operators.knowledge", "operators.models", "operators.context", "operators.dimensions", "operators.records", "operators.embedding", "functions.markdown", "functions.parsers", "functions.languages", "streaming.events", "sources.portable"]
 
 
 def _modules():
