@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textkit as tk
@@ -311,15 +311,23 @@ class NearDuplicates:
         other = lambda df, *columns: df.filter("apart").select(*[F.col(c).alias(f"x_{c}") for c in columns])
         pair = [F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")]
         across = F.col("component") != F.col("x_component")
-        # Shingles beyond the hub's that classes of several components have.
+        # Shingles beyond the hub's that classes of several components have.  A link needs so many of them (`need`) that
+        # both have one in common among all but the `need` - 1 most frequent of their own: only those are posted.  And
+        # behind the first that they share, both must have enough of them left.
         own = rows.select("hub", "id", "component", "apart").distinct().join(sets, "id").join(hubs, "hub")
-        own = own.select("hub", "id", "component", "apart", F.explode(F.array_except("grams", "core")).alias("gram"))
+        own = own.select("hub", "id", "component", "apart", F.size("grams").alias("n"), F.size(F.array_intersect("grams", "core")).alias("shared"), F.explode(F.array_except("grams", "core")).alias("gram"))
+        need = (F.ceil(F.lit(self.percent) * F.col("n") / 100) - F.col("shared")).cast("int")
+        own = own.groupBy("hub", "id", "component", "apart", "gram").agg(F.min(need).alias("need"), F.min("n").alias("n"), F.max("shared").alias("shared"))
+        alike = Window.partitionBy("hub", "gram")
+        own = own.withColumns({"low": F.min("component").over(alike), "high": F.max("component").over(alike), "often": F.count("*").over(alike)}).filter("low < high")
+        of = Window.partitionBy("hub", "id")
+        own = own.withColumns({"rank": F.row_number().over(of.orderBy("often", "gram")), "all": F.count("*").over(of), "need": F.greatest(F.min("need").over(of), F.lit(1)), "n": F.min("n").over(of), "shared": F.max("shared").over(of)})
+        own = own.filter("rank <= all - need + 1").select("hub", "id", "component", "apart", "gram", "n", "shared", (F.col("all") - F.col("rank") + 1).alias("left"))
         own = self.scratch.put(own, "own")
-        several = own.groupBy("hub", "gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("hub", "gram")
-        own = own.join(several, ["hub", "gram"], "left_semi")
-        by_gram = own.join(other(own, "hub", "gram", "id", "component"), (F.col("hub") == F.col("x_hub")) & (F.col("gram") == F.col("x_gram")) & across)
-        # Or no such shingle: what both share with the hub must do, so neither can be too large for the other.
         p = self.percent
+        enough = (100 + p) * (F.least("left", "x_left") + F.least("shared", "x_shared")) >= p * (F.col("n") + F.col("x_n"))
+        by_gram = own.join(other(own, "hub", "gram", "id", "component", "n", "shared", "left"), (F.col("hub") == F.col("x_hub")) & (F.col("gram") == F.col("x_gram")) & across & enough)
+        # Or no such shingle: what both share with the hub must do, so neither can be too large for the other.
         cap = F.floor((100 + p) * F.col("shared") / p) - F.col("n")
         band = lambda x: F.floor(F.log(x.cast("double")) / math.log(BAND))
         able = rows.filter((cap >= 1) & (100 * F.col("shared") >= p * F.col("n"))).withColumn("cap", cap).withColumn("band", band(F.col("n")))
