@@ -131,6 +131,17 @@ def _sets(k: int):
     return run
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each gram of a batch of (id, grams) with the number of rows that have it and one of their ids."""
+    for batch in batches:
+        grams = batch.column(1)
+        if len(batch):
+            at = grams.offsets.to_numpy()
+            ids = np.repeat(batch.column(0).to_numpy(), np.diff(at))
+            gram, one, n = np.unique(grams.values.to_numpy()[at[0] : at[-1]], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64)), pa.array(ids[one])], ["gram", "n", "id"])
+
+
 def _sig_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), K)
 
@@ -259,8 +270,7 @@ class NearDuplicates:
         """(id, least, most) of the classes in hot lists: how many shingles one has, and how many of them another of
         them has as well.  An id with several texts has the least of its sizes and the most, as nothing is known to
         be its own."""
-        grams = sets.select("id", F.explode("grams").alias("gram"))
-        rare = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        rare = sets.mapInArrow(_gram_counts, "gram long, n long, id long").groupBy("gram").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
         counted = rare.filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
         sizes = self.signed.filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles").join(ids, "id", "left_semi")
         sizes = sizes.groupBy("id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("rows"))
