@@ -4,7 +4,9 @@ Texts with equal shingle sets form one class.  Each class has K minima (coordina
 under its coordinate-value pairs.  A pair of classes above the similarity agrees on at least T of the
 K coordinates (missed with a chance of about 1e-8 at the threshold itself), so it shares a posting
 even if each class is posted under only the K - T + 1 rarest of its pairs: common values are skipped.
-Any one order of the values would do; they are ordered by a count sketch of fixed size.
+Any one order of the values would do; they are ordered by a count sketch, whose cells grow with the
+classes up to a fixed number.  Its counts stay with the executors; the driver gets and broadcasts only
+the logarithms of those above `HOT`, compressed.
 
 Lists that the sketch shows to hold at most `HOT` classes yield all their pairs; those that agree on T
 coordinates are confirmed on full shingle sets.  In the other lists, a class with so many shingles of its
@@ -26,6 +28,7 @@ empty result; other columns are never looked at.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +45,11 @@ SHINGLE = 5
 PERCENT = 80
 #: A posting list that may be longer than this is treated as hot.
 HOT = 32
-#: Cells of the count sketch, 2 to this power: at most 32 MB are broadcast, however many texts there are.
-SKETCH_BITS = 22
+#: Cells of the count sketch, 2 to this power: one for eight coordinates, from the least to the most.  At the most,
+#: a byte each is 64 MB, however many texts there are.
+SKETCH_BITS, MOST_SKETCH_BITS = 22, 26
+#: Cells, 2 to this power, that are counted together.
+CHUNK_BITS = 16
 #: Sizes within this ratio are looked up together.
 BAND = 1.02
 _FACTORS = (tk.mix(np.arange(1, K + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -150,33 +156,58 @@ def _coordinate_keys(sig: np.ndarray) -> np.ndarray:
     return (np.arange(K, dtype=np.uint64) << np.uint64(32)) | sig.astype(np.uint64)
 
 
-def _cells(keys: np.ndarray) -> np.ndarray:
-    return (tk.mix(keys) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(classes: int) -> int:
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (classes * K // 8).bit_length()))
 
 
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            cell, n = np.unique(_cells(_coordinate_keys(_sig_rows(batch.column(0)))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n)], ["cell", "n"])
+def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (tk.mix(keys) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _chunk_cells(bits: int):
+    """The cells of a batch's coordinates, once for each coordinate, as 16-bit places in their chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = np.arange(1 << bits - CHUNK_BITS)
+        for batch in batches:
+            if len(batch):
+                cells = np.sort(_cells(_coordinate_keys(_sig_rows(batch.column(0))), bits), axis=None)
+                offsets = np.append(np.searchsorted(cells, chunks << CHUNK_BITS), len(cells)) * 2
+                places = (cells & (1 << CHUNK_BITS) - 1).astype(np.uint16)
+                column = pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int32)), column], ["chunk", "places"])
+
+    return run
+
+
+def _hot_levels(hot: int):
+    """The counts of a chunk as levels: 0 up to `hot`, else seven times the logarithm; no row if all are 0."""
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << CHUNK_BITS, np.int64)
+        for places in table.column("places"):
+            counts += np.bincount(np.frombuffer(places.as_py(), np.uint16), minlength=len(counts))
+        levels = np.where(counts > hot, np.maximum(1, 7 * np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)
+        rows = [(table.column("chunk")[0].as_py(), zlib.compress(levels.tobytes(), 1))] if levels.any() else []
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "levels": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
 
 
 def _post(sketch_cast, prefix: int):
     """Each class under its `prefix` rarest coordinate-value pairs, and whether their lists may be hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts = sketch_cast.value
+        bits, chunks = sketch_cast.value
+        levels = np.zeros(1 << bits, np.uint8)
+        for chunk, packed in chunks:
+            levels[chunk << CHUNK_BITS : chunk + 1 << CHUNK_BITS] = np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
             if not len(batch):
                 continue
             keys = _coordinate_keys(_sig_rows(batch.column(1)))
-            if len(cells):
-                own = _cells(keys)
-                slot = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
-                count = np.where(cells[slot] == own, counts[slot], 0)
-            else:
-                count = np.zeros(keys.shape, np.int64)
-            # The order is one for all classes: count (0 unless hot), then coordinate and value.
+            count = levels[_cells(keys, bits)]
+            # The order is one for all classes: level (0 unless hot), then coordinate and value.
             pick = np.argsort(count, axis=1, kind="stable")[:, :prefix]
             key = np.take_along_axis(keys, pick, 1).reshape(-1).view(np.int64)
             hot = np.take_along_axis(count, pick, 1).reshape(-1) > 0
@@ -250,10 +281,13 @@ class NearDuplicates:
 
     def _postings(self, classes: DataFrame) -> DataFrame:
         """(key, id, hot): a list that is not hot has at most `hot` classes."""
-        cells = classes.select("sig").mapInArrow(_count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        table = cells.filter(F.col("n") > self.hot).toPandas().sort_values("cell")
-        cast = self.spark.sparkContext.broadcast((table["cell"].to_numpy(np.int32), np.minimum(table["n"].to_numpy(), (1 << 31) - 1).astype(np.int32)))
-        return self.scratch.put(classes.select("id", "sig").mapInArrow(_post(cast, K - self.least + 1), "key long, id long, hot boolean"), "lists")
+        bits = sketch_bits(classes.count())
+        places = classes.select("sig").mapInArrow(_chunk_cells(bits), "chunk int, places binary")
+        levels = places.groupBy("chunk").applyInArrow(_hot_levels(self.hot), "chunk int, levels binary").collect()
+        cast = self.spark.sparkContext.broadcast((bits, [(r["chunk"], bytes(r["levels"])) for r in levels]))
+        lists = self.scratch.put(classes.select("id", "sig").mapInArrow(_post(cast, K - self.least + 1), "key long, id long, hot boolean"), "lists")
+        cast.destroy()
+        return lists
 
     @staticmethod
     def _short_pairs(lists: DataFrame) -> DataFrame:

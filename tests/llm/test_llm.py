@@ -213,6 +213,25 @@ def test_near_duplicates_with_long_posting_lists(spark):
     assert got == {(d, c) for d, _, c, _ in brute_components(rows, 4)}
 
 
+def test_near_duplicates_send_the_driver_packed_counts_only(spark, monkeypatch):
+    """However many cells of the sketch are hot, the driver gets a row for each chunk of them and not one for each cell."""
+    assert [neardup.sketch_bits(n) for n in (0, 250_000, 3_000_000, 10**9)] == [22, 22, 25, 26]
+    monkeypatch.setattr(neardup, "SKETCH_BITS", neardup.CHUNK_BITS + 2)
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("cells sent to the driver one by one"))
+    sent, cast = [], type(spark.sparkContext).broadcast
+
+    def seen(self, value):
+        sent.append(value)
+        return cast(self, value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", seen)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(family(random.Random(4), 60, 400, [1, 3, 6]))]
+    found = neardup.NearDuplicates(frame(spark, rows), 4, 80, hot=1).run()
+    assert {(x["doc_id"], x["component_id"]) for x in found.collect()} == {(d, c) for d, _, c, _ in brute_components(rows, 4)}
+    bits, chunks = sent[0]
+    assert len(chunks) == 1 << bits - neardup.CHUNK_BITS and sum(len(c) for _, c in chunks) < 1 << bits
+
+
 def family(r: random.Random, size: int, n: int, edits, vocabulary: int = 10**6) -> list[str]:
     """Copies of one text of `size` words, each with some words changed."""
     base, out = [f"t{r.randrange(10**6)}" for _ in range(size)], []
