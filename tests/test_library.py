@@ -154,6 +154,18 @@ def test_delta_by_micro_batches(spark):
     assert {(x["path"], x["hash"]) for x in spark.read.parquet(apply.snapshot).collect()} == {("a", "2"), ("b", "2")}
 
 
+def test_authored_relations_of_constant_types_are_not_compared_in_pairs(spark):
+    columns = "src string, dst string, type string, created int, note string"
+    old = spark.createDataFrame([("a", "b", "D", 1, "x"), ("a", "b", "D", 2, None), ("a", None, "D", 3, "n"), ("c", "d", "D", None, None)], columns)
+    new = spark.createDataFrame([("a", "b", "D", 5, "y"), ("a", None, "D", 6, "m"), ("c", "d", "D", 7, None), ("e", "f", "D", 8, "z")], columns)
+    want = [("a", "b", "D", 1, "y"), ("a", "b", "D", 2, "y"), ("a", None, "D", 3, "n"), ("a", None, "D", 6, "m"), ("c", "d", "D", 7, None), ("e", "f", "D", 8, "z")]
+    assert sorted(map(tuple, upsert.authored(old, new).collect()), key=repr) == sorted(want, key=repr)
+    other = upsert.authored(old, new.withColumn("type", F.lit("R")))
+    apart = upsert.authored(old.withColumn("type", F.lit("D")), new.withColumn("type", F.lit("R")))
+    assert sorted(map(tuple, apart.collect()), key=repr) == sorted(map(tuple, other.collect()), key=repr)
+    assert "NestedLoop" not in apart._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vector_edge_cases(spark):
     rows = spark.createDataFrame([("z", [0.0, 0.0]), ("short", [1.0]), ("same", [2.0, 0.0]), ("tie", [4.0, 0.0])], "id string, embedding array<double>")
     got = {x["id"]: x["score"] for x in vectors.scored(rows, [1.0, 0.0]).collect()}
