@@ -5,6 +5,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import markdown, parsers, text
@@ -176,6 +177,31 @@ def test_vector_edge_cases(spark):
     assert both[0] == both[1] and ("same", "tie") in both[0]
 
 
+def test_search_batch_against_brute_force(spark):
+    """Copies, scaled copies, scores that are equal once rounded, zero, short, null and infinite vectors, repeated rows; in
+    one block and in several, as matrices."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(400, 8)).round(2)
+    base[100:150], base[150:160] = base[7], 3 * base[7]
+    base[160:200] = base[9] + 1e-8 * r.normal(size=(40, 8))
+    rows = [(f"v{i}", [float(x) for x in v]) for i, v in enumerate(base)]
+    rows += [("zero", [0.0] * 8), ("short", [1.0]), ("none", None), ("hole", [1.0, None]), ("far", [float("inf")] * 8), rows[7], rows[100]]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    q = v.filter("id rlike '^v[0-9]*[05]$' or id in ('v7', 'v9', 'zero', 'short', 'none', 'far')").selectExpr("id AS query_id", "embedding AS query_vec")
+    pairs = v.crossJoin(q).filter("id != query_id").select("query_id", "id", F.round(vectors.cosine(F.col("embedding"), F.col("query_vec")), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    want = sorted(map(str, pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("query_id", "rank", "id", "score").collect()))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for most, batch in ((1 << 20, "10000"), (30, "7")):
+        spark.conf.set(size, batch)
+        got = vectors.search_batch(v, q, 3, most, digits=6).select("query_id", "rank", "id", F.round("score", 6).alias("score")).collect()
+        spark.conf.unset(size)
+        assert sorted(map(str, got)) == want
+    many = vectors.search_batch(v.filter("id like 'v%'"), q.filter("query_id like 'v%'"), 3, digits=6)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_embedding_ids_fold_white_space(spark):
     row = spark.range(1).select(*[vectors.content_id(m, F.lit(t)).alias(f"c{i}") for i, (m, t) in enumerate([("m", "hello   world"), ("m", "  hello world  "), ("n", "hello world")])]).first()
     assert row["c0"] == row["c1"] != row["c2"] and len(row["c0"]) == 16
