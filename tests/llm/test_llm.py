@@ -307,6 +307,14 @@ def test_near_duplicate_filter_keeps_one_of_each(spark, docs):
     assert neardup.match_threshold(80) == 32
 
 
+def test_near_dedup_stage_of_the_pipeline_collects_no_cells(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("cells sent to the driver one by one"))
+    want = Counter(d for d, _, _, kept in set(brute_components(corpus(), 5)) if kept and d is not None)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect() if r["doc_id"] is not None) == want
+
+
 def brute_lines(rows):
     key = lambda x: x.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(ASCII_LOWER)
     holders: dict[str, set] = {}
