@@ -10,8 +10,9 @@ vocabulary, then the rules.
 Blocks are written by Spark as rows of a Parquet table (shard, block, counts, payload) in the shared
 folder, so a task that is run again leaves no second copy, and are read back from there.
 
-Tokenising: a text is cut before each blank or newline that follows another character, where the
-pre-tokenizer cuts as well; each distinct piece is encoded once per process and kept.
+Tokenising: a text is cut before each blank or newline that follows another character, between a Latin
+letter and the ASCII punctuation behind it, and between a single newline and the Latin letter behind it,
+where the pre-tokenizer cuts as well; each distinct piece is encoded once per process and kept.
 
 Block format, little endian: magic `GLRP`, then unsigned 32-bit counts of documents, rules and symbols
 and the vocabulary size; per document doc_id (signed 64), a null flag (8), ids (unsigned 32) and its
@@ -25,6 +26,7 @@ empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,6 +55,11 @@ BLANK = tk.byte_class([0x20, 0x0A])
 _WIDE_LAST = tk.byte_class([0x85, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F, 0xA0])
 _WIDE_BEFORE = tk.byte_class([0xC2, 0x80, 0x81, 0x9A])
 _ASCII_SPACE = tk.byte_class([*range(0x09, 0x0E), *range(0x1C, 0x21)])
+ASCII_LETTER = tk.byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B)])
+#: U+00C0 to U+017F begin with 0xC3 to 0xC5 and are letters but for two signs, C3 97 and C3 B7: their second bytes.
+_SIGN_SECOND = tk.byte_class([0x97, 0xB7])
+#: Printable ASCII that is no letter, digit or blank.
+PUNCTUATION = tk.byte_class([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
 
 
 class Spans:
@@ -70,7 +77,7 @@ class Spans:
         """Of bytes, the eight from each place on as one number."""
         return np.ndarray((self.n + 1,), "<u8", self._room, strides=(1,))
 
-    def add(self, values: np.ndarray, sizes: list[int]) -> None:
+    def add(self, values: np.ndarray, sizes: list[int] | np.ndarray) -> None:
         size = np.array(sizes, np.int64)
         if self.n + len(values) + 8 > len(self._room):
             self._room = np.concatenate((self.flat, np.zeros(self.n + len(values) + (1 << 12), self._room.dtype)))
@@ -80,6 +87,26 @@ class Spans:
         self.n += len(values)
 
 
+def latin_letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are the first, and which the last, of an ASCII letter or a letter from U+00C0 to U+017F."""
+    first = ASCII_LETTER[raw]
+    last = first.copy()
+    wide = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC5))
+    wide = wide[(raw[wide] != 0xC3) | ~_SIGN_SECOND[raw[wide + 1]]]
+    first[wide] = True
+    last[wide + 1] = True
+    return first, last
+
+
+def one_word(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which pieces are such letters only, behind one blank at most: each is one pre-token, which the model encodes
+    at once."""
+    first, last = latin_letters(raw)
+    other = np.concatenate(([0], np.cumsum(~(first | last))))
+    blank = raw[starts] == 0x20
+    return (other[ends] - other[starts] == blank) & (ends - starts > blank)
+
+
 class Encoder:
     """Encodes texts with a `tokenizers` file, distinct pieces once per process."""
 
@@ -90,7 +117,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
-        self.byte_char = _byte_chars()
+        self.byte_char = dict(enumerate(_byte_chars()))
+        self.code_unit = np.array([ord(c) for c in _byte_chars()], "<u2")
         self._forget()
 
     def _forget(self) -> None:
@@ -108,6 +136,12 @@ class Encoder:
         cut = np.zeros(len(raw), np.bool_)
         cut[blank] = True
         cut[b.at[:-1][np.diff(b.at) > 0]] = True
+        if len(raw) > 1:
+            first, last = latin_letters(raw)
+            # A newline that begins a piece has no white space before it; if a letter follows, it stands alone.
+            newline = np.flatnonzero((raw[:-1] == 0x0A) & cut[:-1])
+            cut[newline[first[newline + 1]] + 1] = True
+            cut[np.flatnonzero(last[:-1] & PUNCTUATION[raw[1:]]) + 1] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
         return starts, ends, np.searchsorted(starts, b.at)
@@ -125,8 +159,7 @@ class Encoder:
                 self._forget()
                 new = np.arange(len(h))
             new = new[np.unique(h[new], return_index=True)[1]]
-            flat = b.raw.tobytes()
-            self._learn(h[new], [flat[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self._learn(h[new], b.raw, starts[new], ends[new])
             slot = self._known(h)
         n, at, store = self.ids.size[slot], self.ids.at[slot], self.ids.flat
         # A piece whose hash another piece has in the store is encoded by itself.
@@ -150,14 +183,17 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.slots[at], -1)
 
-    def _learn(self, h: np.ndarray, texts: list[bytes]) -> None:
+    def _learn(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Add pieces that are not in the store yet; their hashes are in order."""
         at = np.searchsorted(self.hashes, h)
         self.slots = np.insert(self.slots, at, len(self.hashes) + np.arange(len(h)))
         self.hashes = np.insert(self.hashes, at, h)
-        got = [self._ids(t) for t in texts]
-        self.ids.add(np.array([i for x in got for i in x], self.kind), [len(x) for x in got])
-        self.raw.add(np.frombuffer(b"".join(texts), np.uint8), [len(t) for t in texts])
+        flat, chars = raw.tobytes(), self.code_unit[raw].tobytes().decode("utf-16-le")
+        tokenize, spans = self.tokenizer.model.tokenize, zip(starts.tolist(), ends.tolist(), one_word(raw, starts, ends).tolist(), strict=True)
+        got = [[t.id for t in tokenize(chars[s:e])] if word else self._ids(flat[s:e]) for s, e, word in spans]
+        self.ids.add(np.fromiter(itertools.chain.from_iterable(got), self.kind), [len(x) for x in got])
+        n = ends - starts
+        self.raw.add(raw[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())], n)
 
     def _ids(self, piece: bytes) -> list[int]:
         """A piece of one blank at most and letters only is one pre-token: the model encodes it at once."""
@@ -165,8 +201,8 @@ class Encoder:
         if word.isalpha():  # ASCII letters
             return [t.id for t in self.tokenizer.model.tokenize(("Ġ" if len(word) < len(piece) else "") + word.decode())]
         text = word.decode()
-        if text.isalpha() and text.isalnum() and not any(0x0300 <= ord(c) for c in text):  # Latin letters
-            return [t.id for t in self.tokenizer.model.tokenize(("Ġ" if len(word) < len(piece) else "") + "".join(self.byte_char[x] for x in word))]
+        if text.isalpha() and max(text) < "\u0300":  # Latin letters
+            return [t.id for t in self.tokenizer.model.tokenize(("Ġ" if len(word) < len(piece) else "") + word.decode("latin-1").translate(self.byte_char))]
         return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
 
 
@@ -212,10 +248,12 @@ def repair(ids: np.ndarray, at: np.ndarray, vocabulary: int, least_gain: float |
         good = good[np.argsort(-count[good], kind="stable")][: room - n_rules]
         rank = _lookup(pair, kinds[good], inner)  # 0: none; else larger is more frequent
         # A place is replaced if its pair beats both neighbours'; in a run of one pair, every other place is.
-        new = np.ones(len(rank), np.bool_)
-        new[1:] = rank[1:] != rank[:-1]
-        here = np.arange(len(rank))
-        take = (rank > 0) & ((here - np.maximum.accumulate(np.where(new, here, 0))) & 1 == 0)
+        take = rank > 0
+        again = np.flatnonzero(take[1:] & (rank[1:] == rank[:-1])) + 1  # places of a run but its first
+        here = np.arange(len(again))
+        new = np.ones(len(again), np.bool_)
+        new[1:] = again[1:] != again[:-1] + 1
+        take[again[(here - np.maximum.accumulate(np.where(new, here, 0))) & 1 == 0]] = False
         take[1:] &= rank[1:] >= rank[:-1]
         take[:-1] &= rank[:-1] >= rank[1:]
         place = np.flatnonzero(take)

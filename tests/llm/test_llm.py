@@ -654,6 +654,20 @@ def test_encoder_pieces_and_full_store(monkeypatch):
             assert got == want
 
 
+def test_encoder_cuts_words_from_punctuation():
+    """Words are kept without the signs behind them and the newline before them, and all ids stay the tokenizer's."""
+    enc = tokenbin.Encoder(BPE)
+    texts = pa.array(["peña peña, peña. peña!!\npeña;\npeña"])
+    ids, at = enc.encode(next(tk.blocks(texts)))
+    assert ids.tolist() == enc.tokenizer.encode(texts[0].as_py(), add_special_tokens=False).ids and len(enc.hashes) == 7  # two words, newline, four signs
+    r = random.Random(5)
+    parts = [*"abZz09'.,!?-_\n\n\n  \t\r\x1c\x85\u2003—¿×÷éßŉĀƀʰ\u0301中ªµ²\x00\x7f~{Ω", "😀", "'s", "'ll", "word", "The", "<|endoftext|>"]
+    texts = pa.array(["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(5000)])
+    ids, at = enc.encode(next(tk.blocks(texts)))
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+
+
 def test_repair_is_lossless_with_random_access():
     r = np.random.default_rng(4)
     for n in (1, 2, 50, 5000):
