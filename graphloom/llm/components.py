@@ -24,6 +24,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.put(moved.join(jump, "step", "left").select("node", "old", F.least("step", F.coalesce("far", "step")).alias("component")), "labels")
         done = new.filter(F.col("old") != F.col("component")).isEmpty()
         scratch.drop(labels)
+        scratch.settle()
         labels = new
         if done:
             scratch.drop(both)

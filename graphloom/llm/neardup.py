@@ -248,6 +248,7 @@ class NearDuplicates:
         classes = linkable.select(F.col("doc_id").alias("id"), "sig").join(ids, "id", "left_semi").dropDuplicates(["id", "sig"])
         classes = s.put(classes, "classes")
         lists = self._postings(classes)
+        s.settle()
         pairs = self._short_pairs(lists)
         long = lists.filter("hot").select("key", "id")
         hot_ids = s.put(long.select("id").distinct(), "hot_ids")
@@ -255,16 +256,19 @@ class NearDuplicates:
         room = self._room(hot_sets, hot_ids)
         long = s.put(long.join(room.filter(100 * F.col("most") >= self.percent * F.col("least")), "id"), "long")
         pairs = s.put(self._agreeing(pairs, classes), "pairs")
+        s.settle()
         nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = self._sets(nodes.join(hot_ids, "id", "left_anti"))
         both = self._hubs_of_lists(long)
         met, hubs = self._met(both, hot_sets)
+        s.settle()
         moved = self._moved(both, met, room)
         s.drop(hubs)
         again, hubs = self._met(moved, hot_sets)
         star = met.unionByName(again).filter((F.col("id") != F.col("hub")) & (100 * F.col("shared") >= self.percent * (F.col("n") + F.col("n_hub") - F.col("shared"))))
         star = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         links = s.put(self._confirmed(pairs, sets.unionByName(hot_sets)).unionByName(star).distinct(), "links")
+        s.settle()
         labels = connected_components(links, s)
         rest = s.put(self._agreeing(self._cross_pairs(again, hubs, hot_sets, labels), classes), "cross")
         if not rest.isEmpty():
@@ -272,6 +276,7 @@ class NearDuplicates:
             s.drop(links)
             links, labels = more, connected_components(more, s)
         s.drop(lists, long, pairs, rest, room, sets, hot_sets, hot_ids, classes, both, met, moved, again, hubs)
+        s.settle()
         self.links = links
         component = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
         rows = signed.select("doc_id", "n_shingles", "s1", "s2")

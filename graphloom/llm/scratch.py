@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -70,6 +71,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def settle(self) -> None:
+        """Have the driver collect its garbage now: its heap shrinks to what is in use, and Spark removes shuffles and
+        broadcasts of steps that are over only when their objects are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self.remove(t._scratch_path)

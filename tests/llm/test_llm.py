@@ -243,6 +243,14 @@ def family(r: random.Random, size: int, n: int, edits, vocabulary: int = 10**6)
     return out
 
 
+def test_near_duplicates_collect_the_drivers_garbage_between_steps(spark, docs):
+    """Spark keeps the state and files of a shuffle until then, and the heap grows with what is not in use."""
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if re.search("Old|MarkSweep", b.getName())]
+    before = sum(b.getCollectionCount() for b in beans)
+    neardup.NearDuplicates(docs, 4, 80).run()
+    assert sum(b.getCollectionCount() for b in beans) >= before + 5
+
+
 def test_near_duplicates_of_more_than_a_thousand_classes_in_a_list(spark):
     """Copies near and below the threshold, with changes in common and without, cut short and lengthened; a passage in
     texts that differ otherwise; a variant of the text with copies of its own; an id with several texts."""
